@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linemill.llm._common import table
+from linemill.llm.minhash import near_duplicates
 from linemill.llm.packing import pack
 from linemill.llm.tokens import token_counts
 
@@ -16,6 +17,10 @@ from linemill.llm.tokens import token_counts
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return token_counts(docs, VOCABULARY).withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -27,6 +32,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_token_counts": op2_token_counts,
         "op7_packing": op7_packing,
     }
