@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linemill.llm._common import table
+from linemill.llm import language_id
+from linemill.llm._common import crc_fold, table
 from linemill.llm.minhash import near_duplicates
 from linemill.llm.packing import pack
+from linemill.llm.quality_classifier import held_out, quality_scores, train
 from linemill.llm.tokens import token_counts
 
 #: The vocabulary of the token queries; any other file's path can be given to the operators.
@@ -26,15 +28,31 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, VOCABULARY).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    voters = train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_scores(docs, voters)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coder = language_id.train(docs)
+    found = language_id.predict(docs.select("doc_id", "text"), coder)
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_token_counts": op2_token_counts,
+        "op4_quality_classifier": op4_quality_classifier,
         "op7_packing": op7_packing,
+        "op8_language_id": op8_language_id,
     }
 
 
