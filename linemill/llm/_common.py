@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/linemill-{what}-{uuid.uuid4().hex}"
+    """A new empty folder under the shared folder."""
+    found = f"{shared_dir(spark)}/linemill-{what}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return found
+
+
+def broadcast_up_to(small: DataFrame, most_rows: int) -> DataFrame:
+    """The frame with a broadcast hint if it is counted to have few rows, else as it is."""
+    return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linemill.llm import language_id
-from linemill.llm._common import crc_fold, table
+from linemill.llm._common import crc_fold, cut_lineage, fresh_dir, table
 from linemill.llm.minhash import near_duplicates
+from linemill.llm.mixing import mix
 from linemill.llm.packing import pack
 from linemill.llm.quality_classifier import held_out, quality_scores, train
 from linemill.llm.tokens import token_counts
+from linemill.llm.warc import read_archives, write_archives
 
 #: The vocabulary of the token queries; any other file's path can be given to the operators.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +37,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    written = cut_lineage(write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder))
+    records = read_archives(spark, folder, written)
+    return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -46,13 +55,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_token_counts": op2_token_counts,
         "op4_quality_classifier": op4_quality_classifier,
+        "op6_warc": op6_warc,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
+        "op9_mixing": op9_mixing,
     }
 
 
