@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linemill.llm import language_id
+from linemill.llm import ann, language_id
 from linemill.llm._common import crc_fold, cut_lineage, fresh_dir, table
 from linemill.llm.minhash import near_duplicates
 from linemill.llm.mixing import mix
@@ -30,6 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, VOCABULARY).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     voters = train(docs, table(spark, sf_dir, "labels"))
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_quality_classifier": op4_quality_classifier,
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
