@@ -13,6 +13,7 @@ from linemill.llm._common import crc_fold, cut_lineage, fresh_dir, table
 from linemill.llm.minhash import near_duplicates
 from linemill.llm.mixing import mix
 from linemill.llm.packing import pack
+from linemill.llm.pii import pseudonymise
 from linemill.llm.quality_classifier import held_out, quality_scores, train
 from linemill.llm.tokens import token_counts
 from linemill.llm.warc import read_archives, write_archives
@@ -41,6 +42,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Key of the pseudonyms in the registered queries; a user passes a secret of their own.
+PSEUDONYM_KEY = "public example key"
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    found = pseudonymise(docs, PSEUDONYM_KEY)
+    return found.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     written = cut_lineage(write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder))
@@ -70,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_pii_pseudonyms": op5_pii_pseudonyms,
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
