@@ -15,6 +15,7 @@ from linemill.llm.mixing import mix
 from linemill.llm.packing import pack
 from linemill.llm.pii import pseudonymise
 from linemill.llm.quality_classifier import held_out, quality_scores, train
+from linemill.llm.quality_rules import quality_rules
 from linemill.llm.tokens import token_counts
 from linemill.llm.warc import read_archives, write_archives
 
@@ -75,6 +76,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
         "op9_mixing": op9_mixing,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
