@@ -137,9 +137,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
 
 
 def predict(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (share of the predicted language) and ambiguous."""
-    if taken := {"lang_pred", "score", "ambiguous", "__guess"} & set(docs.columns):
-        raise ValueError(f"docs has columns {sorted(taken)}")
+    """docs with lang_pred, score (share of the predicted language) and ambiguous; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(coder))
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -160,4 +158,4 @@ def predict(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:
                     name[i] = own.languages[k]
             yield pd.DataFrame({"lang_pred": name, "score": score, "ambiguous": unsure})
 
-    return docs.withColumn("__guess", guess(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__guess.lang_pred", "__guess.score", "__guess.ambiguous")
+    return docs.withColumn("__guess", guess(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")], "__guess.lang_pred", "__guess.score", "__guess.ambiguous")

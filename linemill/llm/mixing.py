@@ -104,9 +104,11 @@ def class_thresholds(classes: np.ndarray, bins: np.ndarray, words: np.ndarray, f
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 9) -> DataFrame:
-    """docs with size, source_size, target and copies, how often the mix takes each row."""
-    if taken := {"size", "source_size", "target", "copies"} & set(docs.columns):
-        raise ValueError(f"docs has columns {sorted(taken)}")
+    """docs with size, source_size, target and copies, how often the mix takes each row.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("size", "source_size", "target", "copies")
     sized = docs.withColumn("size", word_count(F.col(f"`{text}`"))).withColumn("__draw", _draw(F.col(f"`{key}`"), F.col(f"`{text}`"), seed)).withColumn("__class", _size_class(F.col("size")))
     histogram = cut_lineage(
         sized.groupBy(F.col(f"`{source}`").alias("__source"), "__class", F.floor(F.col("__draw") * BINS).cast("int").alias("__bin")).agg(F.sum("size").alias("__words"))
@@ -130,5 +132,5 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row of a mix as often as it is taken."""
+    """The columns of each row of a mix, as often as it is taken."""
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*[F.col(f"`{c}`") for c in columns])

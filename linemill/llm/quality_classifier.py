@@ -150,9 +150,7 @@ def fit(labelled: DataFrame) -> Voters:
 
 
 def quality_scores(docs: DataFrame, voters: Voters, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with a column score from 0 to 1; its other columns pass through."""
-    if score in docs.columns:
-        raise ValueError(f"docs has a column {score}")
+    """docs with a column score from 0 to 1 (one of that name is replaced); its other columns pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(voters))
 
     @F.pandas_udf(T.DoubleType())

@@ -36,6 +36,7 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.29, 0.28
 GUARD_CHARS, GUARD_WORDS = 200, 100
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "[#*$%&|<>]"
 _UPPER, _DIGIT, _MARK = "[A-ZÀ-ÖØ-Þ]", "[0-9]", "[.,;:!?'\"()-]"
 #: Character classes of the histogram; the last one is what no other has.
@@ -79,7 +80,7 @@ def base_counts(docs: DataFrame, text: str) -> DataFrame:
     body = F.col(f"`{text}`")
     counted = docs.withColumn("__words", words_of(body))
     return counted.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in COUNTS],
         "__words",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -146,7 +147,10 @@ def references(docs: DataFrame, text: str = "text", language: str = "lang") -> D
 
 
 def quality_rules(docs: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
-    """docs without its text, with the base counts, both distances, base_failed and kept."""
+    """docs without its text, with the base counts, both distances, base_failed and kept.
+
+    Columns of these names are replaced.
+    """
     body, name = F.col(f"`{text}`"), F.col(f"`{language}`")
     known = broadcast_up_to(cut_lineage(references(docs, text, language)), 10_000)
     counted = base_counts(docs, text).join(known, name.eqNullSafe(F.col("__of")), "left")
@@ -157,8 +161,8 @@ def quality_rules(docs: DataFrame, text: str = "text", language: str = "lang") -
     measured = counted.withColumn("class_distance", class_distance).withColumn("word_distance", word_distance)
     apart = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
     return measured.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != text],
-        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        *[F.col(f"`{c}`") for c in docs.columns if c not in (text, *COUNTS, "base_failed", "kept", "class_distance", "word_distance")],
+        *COUNTS,
         failed.alias("base_failed"),
         (~failed & ~apart).alias("kept"),
         "class_distance",

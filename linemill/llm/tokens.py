@@ -203,12 +203,9 @@ def codec(path: str, count_only: bool):
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", count: str = "n_tokens") -> DataFrame:
     """The columns of docs other than its text, with the token count of each whole text.
 
-    A null text counts as empty. Raises ValueError if docs has a column named
-    like the count.
+    A null text counts as empty. A column named like the count is replaced.
     """
-    if count in docs.columns:
-        raise ValueError(f"docs has a column {count}")
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, count)]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(count, T.LongType())])
 
     def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
