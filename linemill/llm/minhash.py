@@ -9,9 +9,10 @@ the defaults. Every link is confirmed on the full sets.
 
 Sets that are equal are one class from the start, found by fingerprint, so
 large groups of copies cost one row. Within a bucket nobody is compared with
-everybody at once: members are first compared with a few leaders, components
-are formed, and only members of different components that have not been
-compared yet are compared in the end. No bucket is cut.
+everybody at once: each class first meets one leader, components are formed,
+and only classes of different components in one bucket are compared after that,
+in small buckets as pairs, in large ones as blocks against blocks. No bucket is
+cut.
 
 Defined results: texts that are null, empty or without words have an empty set
 and are linked with nothing. Documents with equal sets are linked whatever
@@ -30,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linemill.llm._common import cut_lineage
+from linemill.llm._common import broadcast_up_to, cut_lineage
 from linemill.llm.components import components
 from linemill.llm.shingles import mix, shingle_set
 
 #: Short keys in each of the two collections, and hashes in a short key.
 COLLECTIONS, ROWS = 10, 3
-#: Rounds in which a bucket's members meet a drawn leader, before all that is left is compared.
-LEADER_ROUNDS = 2
+#: Most classes of a bucket whose unmet members are compared as pairs; beyond it, in blocks of so many classes.
+SMALL_BUCKET, BLOCK_CLASSES = 12, 64
 _BLOCK = 4096
 
 
@@ -109,36 +110,91 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, collections: int) -> DataFrame:
-    """(table_key, rep, leader) of all table keys that more than one class has."""
+    """(table_key, rep, leader, n) of all table keys that n > 1 classes have; the leader is the least of them."""
     keys = (
         classes.select("rep", F.posexplode(F.slice("short", 1, collections)).alias("i", "x"), F.slice("short", collections + 1, collections).alias("other"))
         .select("rep", "i", "x", F.posexplode("other").alias("j", "y"))
         .select(F.xxhash64("i", "j", "x", "y").alias("table_key"), "rep")
     )
-    shared = keys.groupBy("table_key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    return keys.join(shared.select("table_key", "leader"), "table_key")
+    shared = keys.groupBy("table_key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("n")).where("leader < last")
+    return keys.join(shared.select("table_key", "leader", "n"), "table_key")
 
 
-def _unmet(members: DataFrame, of: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one bucket and different components: with one leader, or all in the last turn."""
-    placed = members.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("table_key", "rep", F.coalesce("component", "rep").alias("component"))
+def _open_members(members: DataFrame, of: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that still hold several components."""
+    placed = cut_lineage(members.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("table_key", "rep", "n", F.coalesce("component", "rep").alias("component")))
     mixed = placed.groupBy("table_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("table_key")
-    still = cut_lineage(placed.join(mixed, "table_key"))
-    if turn <= LEADER_ROUNDS:
-        chosen = F.min(F.struct(F.xxhash64("rep", "table_key", F.lit(turn)), F.col("rep").alias("mate"), F.col("component").alias("mate_component"))).alias("chosen")
-        mates = still.groupBy("table_key").agg(chosen).select("table_key", "chosen.mate", "chosen.mate_component")
-    else:
-        mates = still.select("table_key", F.col("rep").alias("mate"), F.col("component").alias("mate_component"))
-    met = still.join(mates, "table_key").where("component <> mate_component")
-    if turn > LEADER_ROUNDS:
-        met = met.where("rep < mate")
-    return met.select(F.least("rep", "mate").alias("a"), F.greatest("rep", "mate").alias("b")).distinct()
+    return cut_lineage(placed.join(mixed, "table_key"))
+
+
+def _unmet_pairs(small: DataFrame) -> DataFrame:
+    """Pairs of different components in small buckets."""
+    mates = small.select("table_key", F.col("rep").alias("mate"), F.col("component").alias("mate_component"))
+    met = small.join(mates, "table_key").where("rep < mate and component <> mate_component")
+    return met.select(F.col("rep").alias("a"), F.col("mate").alias("b")).distinct()
+
+
+def _unmet_in_families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in large buckets, compared block by block.
+
+    Classes that large buckets connect are a family. Its main component's
+    classes and all others are dealt to blocks of bounded size; every block of
+    the others meets every block of the family, as packed sets, in a task.
+    """
+    hubs = large.groupBy("table_key").agg(F.min("rep").alias("a"))
+    families = components(large.join(hubs, "table_key").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    classes = large.select("rep", "component").distinct().join(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep", "left")
+    classes = cut_lineage(classes.select("rep", "component", F.coalesce("family", "rep").alias("family")))
+    counts = classes.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("family", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_other"))
+    told = classes.join(main, "family").withColumn("is_main", F.col("component") == F.col("main"))
+    blocks = F.ceil(F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other")) / BLOCK_CLASSES)
+    dealt = told.select("rep", "component", F.struct("family", "is_main", F.pmod(F.xxhash64("rep"), blocks).alias("salt")).alias("block"))
+    packed = cut_lineage(dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "set")).alias("held")))
+    names = packed.select("block", F.col("block.family").alias("family"))
+    others = names.where("not block.is_main").withColumnRenamed("block", "other")
+    meet = others.join(names, "family").where("block.is_main or other.salt <= block.salt").select("other", "block")
+    both = meet.join(packed.select(F.col("block").alias("other"), F.col("held").alias("x")), "other").join(packed.select("block", F.col("held").alias("y")), "block").select("x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                found = _linked_in_blocks(_unpacked(x), _unpacked(y), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _unpacked(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    held = block.values
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in held.field("set")]
+    return held.field("rep").to_numpy(), held.field("component").to_numpy(), sets
+
+
+def _linked_in_blocks(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of different components between two blocks, by one sorted index of the second."""
+    ids, places, sets = y
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = np.array([len(s) for s in sets])
+    out = []
+    for one, place, mine in zip(*x):
+        low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+        spans = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        linked = (100 * both >= percent * (len(mine) + sizes - both)) & (places != place)
+        out += [(min(int(one), int(b)), max(int(one), int(b))) for b in ids[linked]]
+    return out
 
 
 def _of_several_texts(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of a key that stands for several texts."""
     several = signed.where("id is not null and print is not null").groupBy("id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x < y")
-    places = signed.join(several.select("id"), "id").join(classes.select("print", "rep"), "print").select("id", "rep")
+    places = signed.join(cut_lineage(several.select("id")), "id").join(classes.select("print", "rep"), "print").select("id", "rep")
     return places.join(places.groupBy("id").agg(F.min("rep").alias("low")), "id").where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
 
 
@@ -152,15 +208,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = signed.where("id is not null and print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("short").alias("short"))
     members = cut_lineage(_buckets(classes, collections))
     needed = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = cut_lineage(full_sets(needed.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words).distinct())
-
-    compared = new = cut_lineage(members.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    links = _of_several_texts(signed, classes)
-    for turn in range(1, LEADER_ROUNDS + 2):
-        links = cut_lineage(links.union(confirmed(new, sets, percent)))
-        new = cut_lineage(_unmet(members, components(links), turn).join(compared, ["a", "b"], "left_anti"))
-        compared = compared.union(new)
-    links = links.union(confirmed(new, sets, percent))
+    nodes = broadcast_up_to(cut_lineage(members.select(F.col("rep").alias("id")).distinct()), 200_000)
+    sets = cut_lineage(full_sets(needed.join(nodes, "id", "left_semi"), words).distinct())
+
+    # Every member first meets one leader: what near copies share is one component after that.
+    first = cut_lineage(members.where("rep > leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"))
+    links = cut_lineage(_of_several_texts(signed, classes).union(confirmed(first, sets, percent)))
+    still = _open_members(members, cut_lineage(components(links)))
+    pairs = _unmet_pairs(still.where(F.col("n") <= SMALL_BUCKET)).join(first, ["a", "b"], "left_anti")
+    links = links.union(confirmed(cut_lineage(pairs), sets, percent)).union(_unmet_in_families(still.where(F.col("n") > SMALL_BUCKET), sets, percent))
 
     of = components(links).withColumnRenamed("node", "rep")
     places = classes.select("print", "rep").join(of, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
