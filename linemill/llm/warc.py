@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linemill.llm._common import broadcast_up_to, cut_lineage
+
 #: Skippable frame that leads an archive, and the magic number of a frame.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Uncompressed bytes after which an archive is closed, and of one dictionary at most.
@@ -165,6 +167,8 @@ def _marked(pages: DataFrame, key: str, payload: str, least_bytes: int) -> tuple
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for each row into archives in folder; returns their (path, records)."""
     known, revisits = _marked(pages, key, payload, least_bytes)
+    # Few revisits need no shuffle of the payloads.
+    revisits = broadcast_up_to(cut_lineage(revisits), 200_000)
     same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (known["__sha1"] == revisits["__sha1"])
     rows = known.join(revisits, same, "left").select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{payload}`").alias("payload"), F.col("__last").cast("string").alias("refers_to"))
 
