@@ -1 +1 @@
-"""Line-stream analytics on Spark."""
+"""Line-stream analytics and data contracts on Spark DataFrames."""

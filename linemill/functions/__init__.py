@@ -1 +1 @@
-"""Line-stream analytics on Spark."""
+"""Column functions: patterns, character sets, fields, replacement, formatting."""

@@ -1 +1 @@
-"""Line-stream analytics on Spark."""
+"""Operators on line frames: src (key), line_no (order key in src), line."""

@@ -1 +1 @@
-"""Line-stream analytics on Spark."""
+"""Stages, pipelines of stages, their contracts and their storage."""

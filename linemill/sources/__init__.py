@@ -1 +1 @@
-"""Line-stream analytics on Spark."""
+"""Where lines come from and go to."""

@@ -1 +1 @@
-"""Line-stream analytics on Spark."""
+"""Line operators and contracts on Structured Streaming frames."""
