@@ -39,6 +39,8 @@ GUARD_CHARS, GUARD_WORDS = 200, 100
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "[#*$%&|<>]"
 _UPPER, _DIGIT, _MARK = "[A-ZÀ-ÖØ-Þ]", "[0-9]", "[.,;:!?'\"()-]"
+#: What no class counts: most of a usual text. The classes are then counted on the little that is left.
+_PLAIN = "[a-zß-öø-ÿ \\n]+"
 #: Character classes of the histogram; the last one is what no other has.
 CLASSES = ("space", "symbol", "upper", "digit", "mark", "other")
 
@@ -78,22 +80,22 @@ def repeated_words(words: Column) -> Column:
 def base_counts(docs: DataFrame, text: str) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     body = F.col(f"`{text}`")
-    counted = docs.withColumn("__words", words_of(body))
+    counted = docs.withColumn("__words", words_of(body)).withColumn("__rest", F.regexp_replace(body, _PLAIN, ""))
     return counted.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in COUNTS],
         "__words",
+        "__rest",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.coalesce(F.regexp_count(body, F.lit(SYMBOLS)), F.lit(0)).cast("long").alias("n_symbols"),
+        F.coalesce(F.regexp_count("__rest", F.lit(SYMBOLS)), F.lit(0)).cast("long").alias("n_symbols"),
         repeated_lines(body).alias("n_dup_lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"),
     )
 
 
-def _class_counts(text: Column, word_chars: Column, symbols: Column) -> list[Column]:
-    length = F.length(text)
-    some = [F.regexp_count(text, F.lit(p)).cast("long") for p in (_UPPER, _DIGIT, _MARK)]
-    return [length - word_chars, symbols, *some, length - (length - word_chars) - symbols - some[0] - some[1] - some[2]]
+def _class_counts(text: Column, rest: Column, word_chars: Column, symbols: Column) -> list[Column]:
+    some = [F.regexp_count(rest, F.lit(p)).cast("long") for p in (_UPPER, _DIGIT, _MARK)]
+    return [F.length(text) - word_chars, symbols, *some, word_chars - symbols - some[0] - some[1] - some[2]]
 
 
 def _listed(language: Column) -> Column:
@@ -105,13 +107,18 @@ def _listed(language: Column) -> Column:
 
 
 def _common_counts(words: Column, listed: Column) -> Column:
-    """How often each listed word is among the words, and last how many others there are."""
+    """How often each listed word is among the words, and last how many others there are.
 
-    def counted(w: Column) -> Column:
-        each = F.transform(listed, lambda x: (F.size(w) - F.size(F.array_remove(w, x))).cast("double"))
-        return _let(each, lambda c: F.concat(c, F.array(F.size(w) - F.aggregate(c, F.lit(0.0), lambda a, b: a + b))))
+    The words are joined by two spaces, so taking " word " out shortens the text
+    by as much for each place, and places don't overlap.
+    """
+    joined = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+    def counted(s: Column) -> Column:
+        each = F.transform(listed, lambda x: (F.octet_length(s) - F.octet_length(F.replace(s, F.concat(F.lit(" "), x, F.lit(" ")), F.lit("")))) / (F.octet_length(x) + 2))
+        return _let(each, lambda c: F.concat(c, F.array(F.size(words) - F.aggregate(c, F.lit(0.0), lambda a, b: a + b))))
 
-    return _let(words, counted)
+    return _let(joined, counted)
 
 
 def _shares(counts: Column) -> Column:
@@ -132,10 +139,10 @@ def references(docs: DataFrame, text: str = "text", language: str = "lang") -> D
     """For each language its shares of character classes and of common words, over all its documents."""
     body, name = F.col(f"`{text}`"), F.col(f"`{language}`")
     longest = max(map(len, COMMON_WORDS.values())) + 1
-    counted = docs.where(body.isNotNull()).select(name.alias("__of"), body.alias("__text"), words_of(body).alias("__words"))
+    counted = docs.where(body.isNotNull()).select(name.alias("__of"), body.alias("__text"), words_of(body).alias("__words"), F.regexp_replace(body, _PLAIN, "").alias("__rest"))
     counted = counted.select(
         "__of",
-        *[c.alias(f"c{i}") for i, c in enumerate(_class_counts(F.col("__text"), F.length(F.array_join("__words", "")), F.regexp_count("__text", F.lit(SYMBOLS))))],
+        *[c.alias(f"c{i}") for i, c in enumerate(_class_counts(F.col("__text"), F.col("__rest"), F.length(F.array_join("__words", "")), F.regexp_count("__rest", F.lit(SYMBOLS))))],
         _common_counts(F.col("__words"), _listed(F.col("__of"))).alias("w"),
     )
     sums = counted.groupBy("__of").agg(*[F.sum(f"c{i}").cast("double").alias(f"c{i}") for i in range(len(CLASSES))], *[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(longest)])
@@ -154,7 +161,7 @@ def quality_rules(docs: DataFrame, text: str = "text", language: str = "lang") -
     body, name = F.col(f"`{text}`"), F.col(f"`{language}`")
     known = broadcast_up_to(cut_lineage(references(docs, text, language)), 10_000)
     counted = base_counts(docs, text).join(known, name.eqNullSafe(F.col("__of")), "left")
-    classes = F.array(*[c.cast("double") for c in _class_counts(body, F.col("word_chars"), F.col("n_symbols"))])
+    classes = F.array(*[c.cast("double") for c in _class_counts(body, F.col("__rest"), F.col("word_chars"), F.col("n_symbols"))])
     class_distance = F.when((F.length(body) >= GUARD_CHARS) & F.col("__class_share").isNotNull(), jensen_shannon(_shares(classes), F.col("__class_share")))
     word_distance = F.when((F.col("n_words") >= GUARD_WORDS) & (F.size("__word_share") > 1), jensen_shannon(_shares(_common_counts(F.col("__words"), _listed(name))), F.col("__word_share")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
