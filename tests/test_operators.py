@@ -143,3 +143,13 @@ def test_streams_refuse_order(spark, sf_dir):
     stream = spark.readStream.format("rate").load()
     with pytest.raises(ValueError):
         streams.refuse_ordered(stream)
+
+
+def test_large_sources(lines):
+    from linemill.operators import large
+
+    some = lines((1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, None), (2, None), (None, "x"))
+    rows = sorted(((r["src"], r["line_no"], r["line"], r["n"]) for r in large.runs(some).collect()), key=lambda r: r[1])
+    assert rows == [(1, 1, "a", 2), (1, 3, "b", 1), (2, 4, "b", 1), (2, 5, None, 2), (None, 7, "x", 1)]
+    assert sorted(r["pos"] for r in large.with_position(some).collect()) == [1, 1, 1, 2, 2, 3, 3]
+    assert large.runs(some.limit(0)).count() == 0
