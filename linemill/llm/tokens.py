@@ -26,6 +26,8 @@ CALL_CHARS = 262_144
 #: Pieces that a worker remembers.
 MEMO_PIECES = 600_000
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A word and marks after it, which are a pre-token of their own (an apostrophe may not be).
+_WORD_AND_MARKS = re.compile(r"(\n?[^\W\d_]+)([^\w\s']+)")
 
 
 def _json_encoder(path: str) -> Callable[[list[str]], list]:
@@ -90,6 +92,7 @@ class SafePieces:
         self._feed = self._encoder.encode("\n", add_special_tokens=False).ids
         self._memo: dict[str, object] = {}
         self._first: dict[str, object] = {}
+        self._marks: dict[str, object] = {}
 
     @staticmethod
     def fits(path: str) -> bool:
@@ -142,6 +145,28 @@ class SafePieces:
                 raw = ids.tobytes()
                 self._memo.update((p, raw[4 * (a if p[0] == "\n" else a + 1) : 4 * e]) for p, a, e in zip(part, at.tolist(), ends.tolist()))
 
+    def _learn_all(self, pieces: list[str]) -> None:
+        """Learn pieces; those of a word with marks are put together from both."""
+        whole, joined = set(), []
+        for piece in pieces:
+            if parts := _WORD_AND_MARKS.fullmatch(piece):
+                joined.append((piece, parts[1], parts[2]))
+                if parts[1] not in self._memo:
+                    whole.add(parts[1])
+            else:
+                whole.add(piece)
+        self._learn(list(whole))
+        for piece, word, marks in joined:
+            self._memo[piece] = self._memo[word] + self._mark(marks)
+
+    def _mark(self, marks: str) -> object:
+        found = self._marks.get(marks)
+        if found is None:
+            if len(self._marks) > MEMO_PIECES // 8:
+                self._marks.clear()
+            found = self._marks[marks] = self._value(self._ids(marks))
+        return found
+
     @staticmethod
     def _plain(piece: str) -> bool:
         core = piece[1:] if piece[:1] == "\n" else piece
@@ -165,7 +190,7 @@ class SafePieces:
             if None in values:
                 open_at.append(i)
                 new.update(p for p, v in zip(pieces[1:], values) if v is None)
-        self._learn([p for p in new if self._plain(p)])
+        self._learn_all([p for p in new if self._plain(p)])
         for i in open_at:
             got[i] = list(map(self._memo.get, cut[i][1:]))
         whole = [i for i in range(len(texts)) if None in got[i] or not self._plain_start(cut[i])]
