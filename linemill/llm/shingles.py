@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers the hashes of.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
