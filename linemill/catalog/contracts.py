@@ -164,11 +164,11 @@ def s04(spark, d):
     return sources.file_stats(sources.list_files(spark, d, "nation.parquet"))
 
 
-@query("s05_cat_paths", LINES + "SELECT src, count(*) AS n FROM lines WHERE src % 3 = 0 GROUP BY src")
+@query("s05_cat_paths", LINES + "SELECT src, count(*) AS n FROM lines WHERE src IN (SELECT doc_id FROM documents WHERE lang <> 'es') GROUP BY src")
 def s05(spark, d):
     lines = doc_lines(spark, d).withColumn("src", F.concat(F.lit("/docs/"), F.col("src").cast("string")))
     number = F.col("doc_id").cast("string")
-    paths = table(spark, d, "documents").select(F.concat(F.lit("/docs"), F.when(F.col("doc_id") % 3 == 0, F.lit("/")).otherwise(F.lit(" /")), number).alias("line"))
+    paths = table(spark, d, "documents").select(F.concat(F.lit("/docs"), F.when(F.col("lang") != "es", F.lit("/")).otherwise(F.lit(" /")), number).alias("line"))
     named = sources.cat_paths(paths, lines)
     return named.groupBy("src").agg(F.count("*").alias("n")).select(F.regexp_extract("src", "([0-9]+)", 1).cast("long").alias("src"), "n")
 
@@ -179,12 +179,12 @@ def s08(spark, d):
     return aggregate.line_counts(kept)
 
 
-@query("s10_split_out", EVENTS + ", p AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY line_no) AS pos FROM lines) SELECT CAST(floor((pos - 1) / 50.0) AS BIGINT) AS bucket, count(*) AS n FROM p WHERE src < 5 GROUP BY 1")
+@query("s10_split_out", EVENTS + ", p AS (SELECT src, line, row_number() OVER (PARTITION BY src ORDER BY line_no) AS pos FROM lines) SELECT src, CAST(floor((pos - 1) / 50.0) AS BIGINT) AS bucket, line, count(*) AS n FROM p GROUP BY ALL")
 def s10(spark, d):
     path = f"{shared_folder(spark)}/linemill-split-{uuid.uuid4().hex}"
-    few = filters.with_position(event_lines(spark, d).where("src < 5"), "line_no_").select("src", F.col("line_no_").alias("line_no"), "line")
-    sources.split_out(few, 50, path)
-    return spark.read.parquet(path).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    placed = filters.with_position(event_lines(spark, d)).select("src", F.col("pos").alias("line_no"), "line")
+    sources.split_out(placed, 50, path)
+    return spark.read.parquet(path).groupBy("src", F.col("bucket").cast("long").alias("bucket"), "line").agg(F.count("*").alias("n"))
 
 
 query("a14_count_named", LINES + "SELECT src, count(*) AS n_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM lines WHERE src IN (SELECT doc_id FROM documents WHERE lang = 'fr') GROUP BY src")(

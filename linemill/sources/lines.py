@@ -85,6 +85,6 @@ def tee(lines: DataFrame, path: str) -> DataFrame:
 
 
 def split_out(lines: DataFrame, n: int, path: str) -> None:
-    """split -l n: every n lines of a source in a folder of their own."""
+    """split -l n: the k-th n lines of each source in the folder of bucket k."""
     bucket = F.floor((F.col("line_no") - 1) / n).cast("long")
-    lines.withColumn("bucket", bucket).write.partitionBy("src", "bucket").parquet(path)
+    lines.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
