@@ -111,10 +111,13 @@ def lexicographic_numeric_sort(df: DataFrame, column: str) -> DataFrame:
 
 
 def containment_matrix(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
-    """For each two types a and b: how many values are in a but not in b, and the least of them."""
-    in_ = F.filter(F.array(*[F.when(matches(F.col(column), p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
+    """For each two types a and b: how many values are in a but not in b, and the least of them.
+
+    Distinct values are matched once; pairs with none outside have no row.
+    """
+    value = F.col("value")
+    within = F.filter(F.array(*[F.when(matches(value, p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
     names = F.array(*[F.lit(n) for n in patterns])
-    counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    rows = counted.select("value", "n", in_.alias("in_")) if column == "value" else df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select("value", "n", F.filter(F.array(*[F.when(matches(F.col("value"), p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull()).alias("in_"))
-    outside = rows.select("value", "n", F.explode("in_").alias("a"), F.array_except(names, "in_").alias("out")).select("value", "n", "a", F.explode("out").alias("b"))
-    return outside.groupBy("a", "b").agg(F.sum("n").alias("n_outside"), F.min(F.struct(F.length("value").alias("size"), F.col("value").alias("v"))).getField("v").alias("witness"))
+    rows = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("within", within)
+    outside = rows.select("value", "n", F.explode("within").alias("a"), F.array_except(names, "within").alias("out")).select("value", "n", "a", F.explode("out").alias("b"))
+    return outside.groupBy("a", "b").agg(F.sum("n").alias("n_outside"), F.min(F.struct(F.length("value").alias("size"), value.alias("v"))).getField("v").alias("witness"))
