@@ -47,24 +47,20 @@ def word_count(text: Column) -> Column:
 
 
 def _targets(sizes: list[float], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of total by weight, none above most times its size; the excess is shared out again."""
+    """Shares of total by weight, none above most times its size; the excess is shared out again.
+
+    Sources stop in the order of their bounds for each unit of weight.
+    """
     caps = [most * s for s in sizes]
-    target, fixed = [0.0] * len(sizes), [False] * len(sizes)
-    while True:
-        left = total - sum(t for t, f in zip(target, fixed) if f)
-        weight = sum(w for w, f in zip(weights, fixed) if not f)
-        over = []
-        for i, f in enumerate(fixed):
-            if not f:
-                target[i] = left * weights[i] / weight
-                if target[i] > caps[i]:
-                    over.append(i)
-        if not over:
-            return target
-        for i in over:
-            target[i], fixed[i] = caps[i], True
-        if all(fixed):
-            return target
+    target, left, weight = list(caps), total, float(sum(weights))
+    order = sorted(range(len(sizes)), key=lambda i: caps[i] / weights[i])
+    for done, i in enumerate(order):
+        if caps[i] * weight >= left * weights[i]:
+            for j in order[done:]:
+                target[j] = left * weights[j] / weight
+            break
+        left, weight = left - caps[i], weight - weights[i]
+    return target
 
 
 def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
