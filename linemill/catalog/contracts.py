@@ -126,6 +126,15 @@ def c16(spark, d):
     return contracts.containment_matrix(events.select(F.col("props").alias("v")).union(events.select("event_type")), "v", _TYPES)
 
 
+@query("c17_saved_contracts", "SELECT DISTINCT event_type AS command, event_type || '+' AS output FROM events UNION ALL SELECT 'nl', ' +[0-9]+ +.*'")
+def c17(spark, d):
+    path = f"{shared_folder(spark)}/linemill-contracts-{uuid.uuid4().hex}"
+    own = table(spark, d, "events").select(F.col("event_type").alias("command")).distinct().withColumns({"input": F.lit(".*"), "output": F.concat("command", F.lit("+"))})
+    stages.save_contracts(own, path)
+    known = stages.builtin_contracts(spark).where("command = 'nl'")
+    return stages.load_contracts(known, path).select("command", "output")
+
+
 @query("c18_outputs_fit_types")
 def c18(spark, d):
     lines, paths = doc_lines(spark, d), table(spark, d, "pages").select(F.col("url").alias("line"))
