@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linemill.llm._common import crc_fold
+from linemill.llm._memo import claim
 
 #: Most labelled rows that the fit takes (those of the least key hashes).
 SAMPLE_ROWS = 6_000
@@ -42,7 +43,7 @@ BLOCK = 1024
 
 _TERMS = 1 + 40 + SHAPE_BINS + WORD_BINS
 _LOWER, _UPPER, _DIGIT, _OTHER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"), re.compile(r"(\W)\1+")
-_MEMO = 400_000
+_MEMO = 150_000
 
 
 class _Words(dict):
@@ -72,6 +73,7 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.zeros(1, np.int32), np.ones(1, np.float32)
+    claim("terms", _words.clear)
     if len(_words) > _MEMO:
         _words.clear()
     known = np.array(list(map(_words.__getitem__, words)), np.int64)

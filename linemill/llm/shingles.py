@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from linemill.llm._memo import claim
+
 #: Words that a worker remembers the hashes of.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -23,6 +25,7 @@ _hashes = _WordHashes()
 def word_hashes(text: bytes | None) -> np.ndarray:
     """One hash for each word; A-Z are lower-cased, words are parted by ASCII white space."""
     words = (text or b"").lower().split()
+    claim("shingles", _hashes.clear)
     if len(_hashes) > MEMO_WORDS:
         _hashes.clear()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))

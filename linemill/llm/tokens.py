@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linemill.llm._memo import claim
+
 #: Characters that one call of the encoder gets at most, unless a single piece is longer.
 CALL_CHARS = 262_144
 #: Pieces that a worker remembers.
@@ -220,6 +222,7 @@ _codecs: dict[tuple[str, bool], object] = {}
 
 def codec(path: str, count_only: bool):
     """The worker's encoder of a vocabulary file, loaded once per worker process."""
+    claim("tokens", _codecs.clear)
     if (path, count_only) not in _codecs:
         _codecs[path, count_only] = SafePieces(path, count_only) if SafePieces.fits(path) else WholeTexts(path)
     return _codecs[path, count_only]
