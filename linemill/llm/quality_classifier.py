@@ -101,7 +101,8 @@ def _dense(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.nd
     for row, (where, weight) in enumerate(found):
         out[row, where] = weight
     out *= idf
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
