@@ -58,12 +58,19 @@ def short_keys(found: np.ndarray, rows: int, factors: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds few texts' sets at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int, collections: int, rows: int) -> DataFrame:
     """id, n_shingles, a 128-bit fingerprint of the set and its short keys of both collections."""
     factors = _multipliers(2 * collections * rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, prints, keys = [], [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(raw, words)
@@ -79,7 +86,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """id and its set as packed hashes; of rows with one id, one row for each set."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(raw, words).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
