@@ -41,6 +41,8 @@ MOST_LEAVES = 16_384
 PROBES, RECALL, CHUNK_ROWS = 128, 0.95, 4_096
 #: Queries that meet a chunk at once.
 QUERY_BLOCK = 128
+#: Partial results that a task holds and thins to the nearest of each query.
+HELD_ROWS = 400_000
 
 
 class Tree(NamedTuple):
@@ -161,6 +163,20 @@ def _nearest(queries: np.ndarray, query_keys: np.ndarray, rows: np.ndarray, row_
     return q, r, np.sqrt(((rows[r] - queries[q]) ** 2).sum(axis=1))
 
 
+def _best_of(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of partial results (query, row, distance) the k nearest of each query."""
+    q, v, far = (np.concatenate(parts) for parts in zip(*held))
+    order = np.lexsort((v, far, q))
+    q, v, far = q[order], v[order], far[order]
+    starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return q[place < k], v[place < k], far[place < k]
+
+
+def _found_batch(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query with their rank; tasks keep k of each query before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
@@ -233,12 +249,22 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
                 yield pa.RecordBatch.from_arrays([pa.array([leaf for leaf, _ in out], pa.int64()), pa.array([keys[q].tobytes() for _, q in out], pa.binary()), pa.array([x[q].tobytes() for _, q in out], pa.binary())], names=["leaf", "query_keys", "queries"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for row_keys, vectors, query_keys, queries_ in zip(*(batch.column(i) for i in range(4))):
                 rk, qk = np.frombuffer(row_keys.as_buffer(), np.int64), np.frombuffer(query_keys.as_buffer(), np.int64)
                 x, y = np.frombuffer(vectors.as_buffer()).reshape(-1, dims), np.frombuffer(queries_.as_buffer()).reshape(-1, dims)
                 q, r, score = _nearest(y, qk, x, rk, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qk[q]), pa.array(rk[r]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                held.append((qk[q], rk[r], score))
+                size += len(q)
+                if size > HELD_ROWS:
+                    held = [_best_of(held, k)]
+                    size = len(held[0][0])
+                    if size > HELD_ROWS // 2:
+                        yield _found_batch(held[0])
+                        held, size = [], 0
+        if size:
+            yield _found_batch(_best_of(held, k))
 
     routed = queries.mapInArrow(route, "leaf long, query_keys binary, queries binary")
     met = _chunks(placed, dims, CHUNK_ROWS).join(routed, "leaf").select("keys", "vectors", "query_keys", "queries")
