@@ -5,7 +5,8 @@ goes down the tree best-bin-first: a priority queue holds the branches seen so
 far by the distance of their centres, and the nearest is opened next. How many
 rows' worth of leaves a query visits is calibrated: for a bounded set of rows
 as probes, their true neighbours among all rows are found in blocks, and visits
-are widened until the wanted recall is reached on them. Distances of visited rows are exact, in double
+are widened until the wanted recall is reached on them. However small that is,
+a query goes on until its leaves hold as many rows of other keys as it wants. Distances of visited rows are exact, in double
 precision.
 
 Leaves are cut into chunks of bounded size, so a leaf that holds a third of all
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linemill.llm._common import cut_lineage
+from linemill.llm._common import broadcast_up_to, cut_lineage
 
 #: Rows of the sample that the tree is fitted on, rows that a leaf should hold, and children of a node.
 SAMPLE_ROWS, LEAF_ROWS, BRANCHES = 20_000, 256, 8
@@ -67,12 +68,12 @@ class Tree(NamedTuple):
                 children = self.centres[self.first[node] : self.first[node] + self.count[node]]
                 at[mine] = self.first[node] + _squared(vectors[mine], children).argmin(axis=1)
 
-    def best_bins(self, vector: np.ndarray, rows: np.ndarray, budget: float) -> list[int]:
-        """Leaves in the order of a best-bin-first walk, until they hold so many rows."""
+    def best_bins(self, vector: np.ndarray, rows: np.ndarray, budget: float, least: float = 0.0) -> list[int]:
+        """Leaves in the order of a best-bin-first walk, until they hold so many rows, and at least `least`."""
         queue: list[tuple[float, int]] = [(0.0, 0)]
         found: list[int] = []
         held = 0.0
-        while queue and held < budget:
+        while queue and held < max(budget, least):
             _, node = heapq.heappop(queue)
             if not self.count[node]:
                 if rows[node]:
@@ -232,18 +233,21 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
     for r in placed.groupBy("leaf").count().toLocalIterator():  # at most MOST_LEAVES rows
         rows[r["leaf"]] = r["count"]
 
+    # A query's own key is no candidate, so its rows count on top of the k that its leaves must hold.
+    several = cut_lineage(placed.groupBy("key").agg(F.count("*").alias("own")).where("own > 1"))
+    queries = queries.join(broadcast_up_to(several, 200_000), "key", "left").select("key", "vector", F.coalesce("own", F.lit(1)).cast("long").alias("own"))
     budget = _calibrated(placed, tree, rows, k, dims, recall)
     sizes = spark.sparkContext.broadcast(rows)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = Tree(*sent.value), sizes.value
         for batch in batches:
-            keys, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dims)
+            keys, x, own_rows = batch.column(0).to_numpy(), _matrix(batch.column(1), dims), batch.column(2).to_numpy()
             for at in range(0, len(keys), QUERY_BLOCK):
                 part = slice(at, at + QUERY_BLOCK)
                 visits: dict[int, list[int]] = {}
                 for i, one in enumerate(x[part]):
-                    for leaf in own.best_bins(one, held, budget):
+                    for leaf in own.best_bins(one, held, budget, k + own_rows[at + i]):
                         visits.setdefault(leaf, []).append(at + i)
                 out = list(visits.items())
                 yield pa.RecordBatch.from_arrays([pa.array([leaf for leaf, _ in out], pa.int64()), pa.array([keys[q].tobytes() for _, q in out], pa.binary()), pa.array([x[q].tobytes() for _, q in out], pa.binary())], names=["leaf", "query_keys", "queries"])

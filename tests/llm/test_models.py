@@ -93,3 +93,16 @@ def test_odd_vectors(spark):
     assert ann.nearest(frame.limit(0), F.lit(True)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [3.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2.0)]
+
+
+def test_outliers_among_copies_find_all_neighbours(spark):
+    draw = np.random.default_rng(5)
+    groups = np.repeat(draw.normal(size=(50, 8)), 40, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(groups)]
+    outliers = [(10_000 + i, v.tolist()) for i, v in enumerate(20 * draw.normal(size=(20, 8)))]
+    # A key of its own leaf: none of its rows is a candidate.
+    repeated = [(20_000, [300.0] * 8)] * 15
+    frame = spark.createDataFrame(rows + outliers + repeated, "vec_id long, embedding array<float>")
+    found = ann.nearest(frame, F.col("vec_id") >= 10_000, leaf_rows=40).groupBy("query_id").count().collect()
+    counts = {r["query_id"]: r["count"] for r in found}
+    assert counts == {key: 10 for key in [*range(10_000, 10_020), 20_000]}
