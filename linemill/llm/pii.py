@@ -28,14 +28,29 @@ ROUNDS = 10
 #: First day and number of days of the dates that are permuted among each other, as a product.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 215, 340
 
-# Patterns, tried in this order at each place.
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+#: Lengths of account numbers by country; those of other countries may have any length.
+IBAN_LENGTHS = dict(
+    (one[:2], int(one[2:]))
+    for one in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+        "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+        "MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 "
+        "SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+)
+#: Characters from an account number's start that tell where it ends: 34, spaces between groups of four, and the next.
+_IBAN_REACH = 43
+
+# A place where an account number may start, with the words that may belong to it.
+_IBAN = r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?: [A-Z0-9]{4}(?![A-Za-z0-9])){2,7}(?: [A-Z0-9]{1,3}(?![A-Za-z0-9]))?)"
+_IBAN_STARTS = rf"(?<![A-Za-z0-9])(?={_IBAN})"
+# Patterns of the other kinds, tried in this order at each place.
 _CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 _PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=[ .-])\d{3}[ .-]|(?<![\d.+-])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)"
 _SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 _DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
-NUMBERS = "|".join((_IBAN, _CARD, _SSN, _DATE, _IP, _PHONE))
+NUMBERS = "|".join((_CARD, _SSN, _DATE, _IP, _PHONE))
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,16}\p{L}{2,63}"
 
 
@@ -125,14 +140,40 @@ def _card(value: Column, key: str) -> Column:
     return F.when(_luhn_sum(digits, False) % 10 == 0, _filled(value, _let(_permuted_digits(payload, key, "card"), checked))).otherwise(value)
 
 
+def _iban_country(value: Column) -> Column:
+    return F.substr(value, F.lit(1), F.lit(2))
+
+
+def _iban_valid(value: Column) -> Column:
+    """Whether the length is the country's and the check digits are right."""
+
+    def checked(flat: Column) -> Column:
+        lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+        known = F.try_element_at(lengths, _iban_country(flat))
+        turned = F.concat(F.substr(flat, F.lit(5), F.length(flat) - 4), F.substr(flat, F.lit(1), F.lit(4)))
+        return F.coalesce(known == F.length(flat), F.lit(True)) & (_modulo_97(turned) == 1)
+
+    return _let(F.regexp_replace(value, " ", ""), checked)
+
+
+def _iban_at_start(text: Column) -> Column:
+    """The valid account number that text starts with, of several the longest; null if there is none."""
+
+    def longest(words: Column) -> Column:
+        sizes = F.sequence(F.size(words), F.least(F.size(words), F.lit(3)), F.lit(-1))
+        return F.get(F.filter(F.transform(sizes, lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")), _iban_valid), F.lit(0))
+
+    return _let(F.regexp_extract(text, f"^{_IBAN}", 0), lambda found: F.when(found != "", _let(F.split(found, " "), longest)))
+
+
 def _iban(value: Column, key: str) -> Column:
+    """Pseudonym of a valid account number."""
     flat = F.regexp_replace(value, " ", "")
-    country, account = F.substr(flat, F.lit(1), F.lit(2)), F.substr(flat, F.lit(5), F.length(flat) - 4)
+    country, account = _iban_country(flat), F.substr(flat, F.lit(5), F.length(flat) - 4)
     digits = _only_digits(account)
     moved = F.when(F.length(digits) >= 2, _filled(account, _permuted_digits(digits, key, "iban"))).otherwise(account)
     check = lambda m: F.lpad((98 - _modulo_97(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _modulo_97(F.concat(account, country, F.substr(flat, F.lit(3), F.lit(2)))) == 1
-    return F.when(valid, _filled(value, _let(moved, lambda m: _only_digits(F.concat(check(m), m))))).otherwise(value)
+    return _filled(value, _let(moved, lambda m: _only_digits(F.concat(check(m), m))))
 
 
 def _social(value: Column, key: str) -> Column:
@@ -176,8 +217,7 @@ def _date(value: Column, key: str) -> Column:
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one find of NUMBERS, or the find itself if it is not valid."""
     return (
-        F.when(value.rlike("^[A-Z]"), _iban(value, key))
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{2}([/.])\d{2}\1\d{4}$"), _date(value, key))
+        F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{2}([/.])\d{2}\1\d{4}$"), _date(value, key))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), _social(value, key))
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _address(value, key))
         .when(value.rlike(r"^\d{13}|^\d{4}[ -]"), _card(value, key))
@@ -198,11 +238,49 @@ def _replaced(text: Column, pattern: str, new: Callable[[Column], Column]) -> Co
     return F.array_join(F.zip_with(gaps, F.concat(F.transform(finds, new), F.array(F.lit(""))), lambda gap, put: F.concat(gap, put)), "")
 
 
+def _numbers_replaced(text: Column, key: str) -> Column:
+    return _replaced(text, NUMBERS, lambda value: pseudonym(value, key))
+
+
+def _with_ibans(text: Column, key: str) -> Column:
+    """text with account numbers replaced, and other numbers between them.
+
+    It is cut where an account number may start; only cuts before valid ones
+    outside of one another stay, so what is refused is searched as other text.
+    """
+
+    def of_pieces(pieces: Column) -> Column:
+        between = lambda a, b: F.array_join(F.slice(pieces, a, b - a), "")
+        at = F.sequence(F.lit(1), F.size(pieces))
+        reach = lambda i: F.substr(F.array_join(F.transform(F.slice(pieces, i, F.lit(_IBAN_REACH)), lambda p: F.substr(p, F.lit(1), F.lit(_IBAN_REACH))), ""), F.lit(1), F.lit(_IBAN_REACH))
+        valid = F.filter(F.transform(at, lambda i: F.struct(i.alias("at"), _iban_at_start(reach(i)).alias("iban"))), lambda v: v["iban"].isNotNull())
+
+        def add(kept: Column, v: Column) -> Column:
+            last = F.get(kept, F.size(kept) - 1)
+            return F.when(F.length(between(last["at"], v["at"])) >= F.length(last["iban"]), F.concat(kept, F.array(v))).otherwise(kept)
+
+        head = F.array(F.struct(F.lit(1).alias("at"), F.lit("").alias("iban")))
+
+        def of_kept(kept: Column) -> Column:
+            def put(v: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(kept, i + 1)["at"], F.size(pieces) + 1)
+                rest = _let(between(v["at"], end), lambda t: F.substr(t, F.length(v["iban"]) + 1, F.length(t)))
+                return F.concat(F.when(v["iban"] == "", "").otherwise(_iban(v["iban"], key)), _numbers_replaced(rest, key))
+
+            return F.array_join(F.transform(kept, put), "")
+
+        return _let(F.aggregate(valid, head, add), of_kept)
+
+    return _let(F.split(text, _IBAN_STARTS, -1), of_pieces)
+
+
 def pseudonymised(text: Column, key: str) -> Column:
     """A text's pseudonymised form; texts without a digit or an at sign are not searched."""
     mailed = F.when(F.contains(text, F.lit("@")), _replaced(text, MAIL, lambda m: mail_pseudonym(m, key))).otherwise(text)
     # A mail address's own digits are gone or keyed by now, and its pseudonym has no pattern of a number.
-    return F.when(mailed.rlike("[0-9]") & mailed.rlike(NUMBERS), _replaced(mailed, NUMBERS, lambda m: pseudonym(m, key))).otherwise(mailed)
+    digits = mailed.rlike("[0-9]")
+    with_ibans = _let(mailed, lambda t: _with_ibans(t, key))
+    return F.when(digits & mailed.rlike(_IBAN_STARTS), with_ibans).when(digits & mailed.rlike(NUMBERS), _numbers_replaced(mailed, key)).otherwise(mailed)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

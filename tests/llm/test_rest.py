@@ -62,6 +62,30 @@ def test_other_kinds(spark):
     assert texts[7:] == ["DE00370400440532013000", "1999-13-41 999.1.2.3 4.0."]
 
 
+def iban_holds(value):
+    flat = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def test_account_numbers_among_words(spark):
+    spanish, austrian, card = "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "4845 1681 1440 7329"
+    words = ["EUR", "BIC", "2024", "2024-01-02", "EUR BIC 1", "x"]
+    texts = moved(spark, f"to {spanish}", *[f"to {spanish} {w}" for w in words])
+    new = texts[0][3:]
+    assert new != spanish and iban_holds(new) and re.fullmatch(r"ES\d\d( \d{4}){5}", new)
+    day = moved(spark, "2024-01-02")[0]
+    assert texts[1:] == [f"to {new} {day if w == '2024-01-02' else w}" for w in words]
+    other, hidden = moved(spark, austrian)[0], moved(spark, card)[0]
+    assert other != austrian and hidden != card
+    refused = f"NR12 {card}", "AB12 " + spanish, "NR" + card.replace(" ", "")
+    told = f"NR12 {hidden}", "AB12 " + new, "NR" + hidden.replace(" ", "")
+    assert tuple(moved(spark, *refused)) == told
+    listed = f"{austrian} {spanish} {card} {spanish}\nAB12 CDEF GHIJ {card}, {austrian.replace(' ', '')}"
+    assert moved(spark, listed) == [f"{other} {new} {hidden} {new}\nAB12 CDEF GHIJ {hidden}, {other.replace(' ', '')}"]
+    stays = ["ES92 2100 0418 4502 0005 1332 EUR", "DE00 3704 0044 0532 0130 00", "AB12 CDEF GHIJ KLMN"]
+    assert moved(spark, *stays) == stays
+
+
 def test_digits_are_permuted(spark):
     found = spark.range(1000).select(pii._permuted_digits(F.lpad(F.col("id").cast("string"), 3, F.lit("0")), KEY, "t").alias("d")).collect()
     assert len({r["d"] for r in found}) == 1000 and all(len(r["d"]) == 3 for r in found)
