@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linemill.llm import minhash, mixing, packing, pii, quality_classifier
-from linemill.llm._common import fresh_dir, table
+from linemill.llm._common import broadcast_up_to, cut_lineage, fresh_dir, table
 from linemill.llm.queries import PSEUDONYM_KEY, VOCABULARY
 
 #: Documents below this score are rejected.
@@ -28,14 +28,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the document of the smallest key.
 
-    Of rows that share a kept key, one stays; rows without a key stay.
+    Each distinct key and text is a document of its own: texts that only share
+    a key are not linked. Of a group's documents of the smallest key the one of
+    the smallest hash stays, of rows of one key and text the one that is least
+    by its columns in their order. Rows without a key stay.
     """
-    found = minhash.near_duplicates(docs)
-    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    stay = docs.join(kept, "doc_id").select(*docs.columns, "__rows")
-    once = stay.where("__rows = 1").drop("__rows")
-    several = stay.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"])
-    return once.unionByName(several).unionByName(docs.where("doc_id is null"))
+    count = F.count("*").alias("__rows")
+    several = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").agg(count).where("__rows > 1").select("doc_id", F.lit(True).alias("__several")))
+    # A key of one row is its own node; the hash stands for the rows of others.
+    own = F.when(F.col("__several"), F.xxhash64("doc_id", F.col("text").isNull(), "text")).otherwise(F.col("doc_id").cast("long"))
+    marked = docs.join(broadcast_up_to(several, 200_000), "doc_id", "left").select(*docs.columns, F.col("__several").isNotNull().alias("__several"), own.alias("__node"))
+    found = minhash.near_duplicates(marked, key="__node")
+    if several.isEmpty():
+        kept = found.where("kept and __node is not null").select("__node")
+    else:
+        places = found.where("__node is not null").groupBy("__node").agg(F.min("component_id").alias("component_id"))
+        keys = marked.where("__node is not null").groupBy("__node").agg(F.min("doc_id").alias("doc_id"))
+        least = F.min(F.struct("doc_id", "__node"))
+        kept = places.join(keys, "__node").groupBy("component_id").agg(least.alias("least")).select("least.__node")
+    stay = marked.join(kept, "__node")
+    once = stay.where("not __several").select(*docs.columns)
+    row = F.min(F.struct(*docs.columns)).alias("__row")
+    repeated = stay.where("__several").groupBy("__node").agg(row).select("__row.*")
+    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,3 +218,15 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
             stage(spark, docs, sf_dir).collect()
     kept = corpus_pipeline.near_dedup(spark, odd, sf_dir).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "None"]
+
+
+def test_near_dedup_keeps_texts_that_share_a_key(spark, sf_dir):
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    near = text("a") + " tail"
+    rows = [(7, text("a"), "x"), (7, text("b"), "x"), (7, text("b"), "w"), (7, text("c"), "x"), (7, None, "x"), (7, "", "x"), (3, text("d"), "x"), (9, near, "x"), (8, text("c"), "x"), (2, text("c"), "x"), (11, text("e"), "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = Counter([(7, text("a"), "x"), (7, text("b"), "w"), (7, None, "x"), (7, "", "x"), (3, text("d"), "x"), (2, text("c"), "x"), (11, text("e"), "x")])
+    for frame in (docs, docs.repartition(5)):
+        kept = corpus_pipeline.near_dedup(spark, frame, sf_dir)
+        assert kept.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"], r["source"]) for r in kept.collect()) == told
