@@ -30,11 +30,13 @@ NAMED_TYPES = {
 
 
 def concretize(df: DataFrame, column: str, budget: int = 1000) -> DataFrame:
-    """One row: the union of all distinct values as a pattern, null beyond the budget of values."""
-    few = df.select(F.col(column).alias("v")).where(F.col(column).isNotNull()).distinct().limit(budget + 1)
+    """One row: the number of distinct values, and their union as a pattern, null beyond the budget of values."""
+    values = df.select(F.col(column).alias("v")).where(F.col(column).isNotNull()).distinct()
+    few = values.limit(budget + 1)
     escaped = F.regexp_replace("v", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
     held = F.array_join(F.sort_array(F.collect_list(escaped)), "|")
-    return few.agg(F.count("*").alias("n_values"), F.when(F.count("*") <= budget, held).alias("pattern"))
+    pattern = few.agg(F.when(F.count("*") <= budget, held).alias("pattern"))
+    return values.agg(F.count("*").alias("n_values")).crossJoin(pattern)
 
 
 def shape(value: Column) -> Column:

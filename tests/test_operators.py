@@ -153,3 +153,9 @@ def test_large_sources(lines):
     assert rows == [(1, 1, "a", 2), (1, 3, "b", 1), (2, 4, "b", 1), (2, 5, None, 2), (None, 7, "x", 1)]
     assert sorted(r["pos"] for r in large.with_position(some).collect()) == [1, 1, 1, 2, 2, 3, 3]
     assert large.runs(some.limit(0)).count() == 0
+
+
+def test_concretize_counts_all_values(lines):
+    many = lines(*[f"v{i % 30}" for i in range(60)])
+    assert tuple(infer.concretize(many, "line", budget=10).first()) == (30, None)
+    assert tuple(infer.concretize(lines(), "line").first()) == (0, "")
