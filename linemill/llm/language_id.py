@@ -23,7 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linemill.llm._common import crc_fold
@@ -112,11 +112,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", folds: int = 3, fold: int = 1, sample_rows: int = SAMPLE_ROWS) -> Coder:
     """A coder of all languages that rows outside the held-out fold name.
 
-    The sample is drawn by key hash from the rows of each language; its bound
-    is shared by the languages, so rare languages keep all their rows.
+    The sample is drawn by key hash from the keys of each language, with the
+    text of the least hash of each key; its bound is shared by the languages,
+    so rare languages keep all their keys. No more rows are gathered.
     """
     learn = docs.where(F.col(f"`{language}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull() & (crc_fold(F.col(f"`{key}`"), folds) != fold))
-    found = learn.groupBy(F.col(f"`{language}`").alias("language")).count().orderBy("language").collect()
+    found = learn.groupBy(F.col(f"`{language}`").alias("language")).agg(F.approx_count_distinct(F.col(f"`{key}`"), 0.02).alias("count")).orderBy("language").collect()
     names = [r["language"] for r in found]
     if len(names) < 2:
         return Coder(names, codewords(len(names)), np.zeros((BINS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
@@ -124,9 +125,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
     # The draw's threshold passes about 1.2 times the bound, and the bound then holds exactly.
     reach = F.create_map(*[x for r in found for x in (F.lit(r["language"]), F.lit(min(1.0, (1.2 * each + 60) / r["count"])))])
     draw = F.pmod(F.xxhash64(F.lit("coder"), F.col(f"`{key}`")), F.lit(1 << 30)) / float(1 << 30)
-    near = learn.select(F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").alias("language"), draw.alias("draw")).where(F.col("draw") < F.element_at(reach, F.col("language")))
-    rows = near.select("text", "language").mapInArrow(_vectors, "vector binary, language string").toPandas()
-    rows = rows.sort_values(["language", "vector"], kind="stable").groupby("language").head(each)
+    near = learn.select(F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").alias("language"), F.col(f"`{key}`").alias("key"), draw.alias("draw")).where(F.col("draw") < F.element_at(reach, F.col("language")))
+    one = near.groupBy("language", "draw", "key").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+    place = F.row_number().over(Window.partitionBy("language").orderBy("draw", "key"))
+    bounded = one.withColumn("place", place).where(F.col("place") <= each)
+    rows = bounded.select("least.text", "language").mapInArrow(_vectors, "vector binary, language string").toPandas()
+    rows = rows.sort_values(["language", "vector"], kind="stable")
     x = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"]]).astype(np.float32)
     code = codewords(len(names))
     y = code[rows["language"].map({n: i for i, n in enumerate(names)}).to_numpy()].astype(np.float32)

@@ -172,10 +172,12 @@ def held_out(key: Column, folds: int = 5, fold: int = 0) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> Voters:
     """Voters of labelled documents outside the held-out fold (the keys' crc32 modulo folds is 0).
 
-    At most sample_rows labelled keys are drawn, by their hash; only these rows
-    are broadcast to find their texts.
+    At most sample_rows distinct pairs of key and label are drawn, by the key's
+    hash; only these rows are broadcast to find their texts. Of a key's texts
+    the one of the least hash is taken, so no more rows are gathered.
     """
     marked = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(F.col("__key").isNotNull() & F.col("__label").isNotNull() & ~held_out(F.col("__key"), folds))
-    drawn = marked.orderBy(F.xxhash64(F.lit("voters"), "__key"), "__key", "__label").limit(sample_rows)
+    drawn = marked.distinct().orderBy(F.xxhash64(F.lit("voters"), "__key"), "__key", "__label").limit(sample_rows)
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return fit(texts.join(F.broadcast(drawn), "__key").select("__text", "__label"))
+    found = texts.join(F.broadcast(drawn), "__key").groupBy("__key", "__label")
+    return fit(found.agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__least")).select("__least.__text", "__label"))

@@ -106,3 +106,23 @@ def test_outliers_among_copies_find_all_neighbours(spark):
     found = ann.nearest(frame, F.col("vec_id") >= 10_000, leaf_rows=40).groupBy("query_id").count().collect()
     counts = {r["query_id"]: r["count"] for r in found}
     assert counts == {key: 10 for key in [*range(10_000, 10_020), 20_000]}
+
+
+def test_voters_of_a_repeated_key_are_one_row(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(1, 1)] * 50, "doc_id long, quality int")
+    found = quality_classifier.train(docs, labels, sample_rows=1000)
+    told = labels.where(~quality_classifier.held_out(F.col("doc_id"))).select("doc_id").distinct().count()
+    assert not labels.where(quality_classifier.held_out(F.col("doc_id")) & (F.col("doc_id") == 1)).count()
+    assert len(found.labels) == told
+
+
+def test_coder_takes_one_text_of_a_repeated_key(spark, monkeypatch):
+    sizes = []
+    fit = language_id._fit_bits
+    monkeypatch.setattr(language_id, "_fit_bits", lambda x, y: (sizes.append(len(x)), fit(x, y))[1])
+    rows = [(1, f"the cat {i}", "en") for i in range(400)] + [(i, ["le chien", "the dog"][i % 2], ["fr", "en"][i % 2]) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = {r["doc_id"] for r in docs.where(language_id.crc_fold(F.col("doc_id"), 3) != 1).collect()}
+    language_id.train(docs)
+    assert 1 in learnt and sizes == [len(learnt)]
