@@ -10,7 +10,9 @@ bundled until they add up to one long slot, and slots are dealt to step groups
 of equal token totals.
 
 Defined results: a null or empty text has only its end token; repeated rows
-(also of one key) are packed each on its own; an empty table gives no pieces.
+(also of one key) are packed each on its own; a very long text is cut into full
+windows; other columns of docs, whatever their names, are left out; an empty
+table gives no pieces.
 A partition leaves at most one window that is not full for each tier.
 """
 
@@ -20,18 +22,21 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linemill.llm.tokens import balanced, codec
+from linemill.llm.tokens import codec, runs
 
 #: Window sizes from short to long; each is a power of two, so full windows need no padding.
 TIERS = (512, 1024, 2048)
 #: Slots of the longest size in one step group.
 STEP_SLOTS = 64
+#: Bytes of texts that are encoded together.
+PACK_BYTES = 16 << 20
 #: Fragments that wait for a window before a round of packing.
 ROUND_FRAGMENTS = 4096
 
@@ -181,16 +186,16 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "doc_id",
 
         for batch in batches:
             arrow_key[:] = [batch.column(0).type]
-            keys = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            found: list[tuple] = []
             at = 0
-            for part in balanced(texts):
-                for one, ids in zip(keys[at : at + len(part)], encoder.packed(part)):
-                    found += packer.add(one, ids + end)
+            for part in runs(batch.column(1), PACK_BYTES):
+                ids, sizes = encoder.ids(part)
+                raw, ends = ids.tobytes(), 4 * np.cumsum(sizes)
+                found: list[tuple] = []
+                for one, start, stop in zip(batch.column(0).slice(at, len(part)).to_pylist(), (ends - 4 * sizes).tolist(), ends.tolist()):
+                    found += packer.add(one, raw[start:stop] + end)
                 at += len(part)
-            if found:
-                yield rows(found, arrow_key[0])
+                if found:
+                    yield rows(found, arrow_key[0])
         if arrow_key and (found := list(packer.flush())):
             yield rows(found, arrow_key[0])
 

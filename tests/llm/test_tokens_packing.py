@@ -4,12 +4,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from linemill.llm.packing import Packer, pack
-from linemill.llm.tokens import CALL_CHARS, SafePieces, WholeTexts, codec, token_counts
+from linemill.llm.tokens import CALL_BYTES, RUN_BYTES, SafePieces, WholeTexts, codec, runs, token_counts
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -23,13 +24,32 @@ def library():
     return Tokenizer.from_file(JSON)
 
 
-def test_odd_texts(library):
+def split_ids(encoder, texts, most=RUN_BYTES):
+    out = []
+    for part in runs(pa.array(texts, pa.string()), most):
+        ids, sizes = encoder.ids(part)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 40, RUN_BYTES])
+def test_odd_texts(library, most):
     long = ("word one, two\n" * 30_000) + "  " + "x" * 1000
-    assert len(long) > CALL_CHARS
+    assert len(long) > CALL_BYTES
     texts = [*ODD, *ODD, long, long.replace("  ", " ")]
     expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert codec(JSON, True).counts(texts) == [len(x) for x in expected]
-    assert [np.frombuffer(x, "<u4").tolist() for x in codec(JSON, False).packed(texts)] == expected
+    assert [n for part in runs(pa.array(texts), most) for n in codec(JSON, True).counts(part)] == [len(x) for x in expected]
+    assert split_ids(codec(JSON, False), texts, most) == expected
+
+
+def test_random_hostile_texts(library):
+    """Marks, blanks of all kinds, letters of several scripts and added tokens in any order, as the library gives them."""
+    draw = np.random.default_rng(7)
+    parts = [*"ab .,'\n\t\r!<|>-_9\u00e9\u00df\u6f22\u3042\u1ea3\u0b95", "  ", "\u00a0", "\u2003", "\u2019", "\u201c", "\u2028", "\u3000", "\u1680", "\u0085", "\x1c", "\x00", "\U0001f642", "<|endoftext|>", "'s", "'ll", " the", "Word", "e\u0301"]
+    texts = ["".join(draw.choice(parts, draw.integers(0, 30))) for _ in range(6_000)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert split_ids(SafePieces(JSON, False), texts) == expected
+    assert SafePieces(JSON, True).counts(pa.array(texts)).tolist() == [len(x) for x in expected]
 
 
 def test_real_texts(spark, sf_dir, library):
@@ -44,7 +64,9 @@ def test_other_vocabularies(name):
     path = public_tokenizers.path(name)
     assert not SafePieces.fits(path)
     one = WholeTexts(path)
-    assert one.counts(["Hello world", ""]) == [len(one.packed(["Hello world"])[0]) // 4, 0]
+    texts = pa.array(["Hello world", "", None])
+    ids, sizes = one.ids(texts)
+    assert one.counts(texts).tolist() == sizes.tolist() == [len(ids), 0, 0]
 
 
 def test_null_text_and_clashing_column(spark):
