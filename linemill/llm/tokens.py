@@ -99,6 +99,16 @@ class WholeTexts:
         return self.ids(texts)[1]
 
 
+def _byte_level() -> dict[int, str]:
+    """The vocabulary's character for each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+#: Letters below this are letters in every version of Unicode.
+_LETTERS_BELOW = "\u0220"
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _ASCII_MARK = np.zeros(256, bool)
@@ -184,15 +194,19 @@ class SafePieces:
         return np.flatnonzero(cut)
 
     def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece; one ASCII word with its space is one pre-token, which the vocabulary's model takes directly."""
+        """Ids of each piece. One word of letters with its space is one pre-token, which the vocabulary's model takes directly."""
         out: list[list[int] | None] = [None] * len(pieces)
-        rest = []
+        rest, model = [], self._model.tokenize
         for i, piece in enumerate(pieces):
-            word = piece[1:] if piece[:1] == b" " else piece
-            if word.isalpha() and len(word) <= MEMO_BYTES:  # of bytes, isalpha is ASCII only
-                out[i] = [t.id for t in self._model.tokenize(piece.decode().replace(" ", "Ġ"))]
-            else:
-                rest.append(i)
+            if len(piece) <= MEMO_BYTES:
+                word = piece[1:] if piece[:1] == b" " else piece
+                if word.isalpha():  # of bytes: ASCII letters only
+                    out[i] = [t.id for t in model(piece.decode().replace(" ", _BYTE_LEVEL[32]))]
+                    continue
+                if (text := word.decode()).isalpha() and max(text) < _LETTERS_BELOW:
+                    out[i] = [t.id for t in model(piece.decode("latin-1").translate(_BYTE_LEVEL))]
+                    continue
+            rest.append(i)
         encoded = chain.from_iterable(self._encoder.encode_batch_fast(part, add_special_tokens=False) for part in _balanced([pieces[i] for i in rest]))
         for i, one in zip(rest, encoded):
             out[i] = one.ids
