@@ -3,30 +3,30 @@
 Sizes are word counts, summed for each source. Targets share a multiple of all
 sizes by the sources' weights; a target stops at a multiple of its source's
 size and what it leaves is shared out again. A source's rate is its target over
-its size: every document is emitted floor(rate) times, and once more if a draw
-hashed from its key falls below a threshold close to the rate's fraction.
+its size: every row is emitted floor(rate) times, and once more if its draw,
+hashed from the whole row and a seed, falls below the rate's fraction.
 
-The draws are independent of each other and of reruns, so with one threshold
-the sum of the copies would stray by the size of the largest documents. The
-thresholds are therefore set for each source and size class, from the largest
-class down, on a histogram of draws (a fixed number of bins for each class):
-each class's threshold starts at the fraction and is moved to the bin where the
-words taken so far come nearest to their share of the target. Over draws, each
-document's chance of a copy remains the fraction.
+Independent draws would let a source stray from its target by chance. So draws
+are made even, not thresholds moved: a row's draw is the place of its hash
+among those of its source and size class (from a histogram of hashes), turned
+by an offset hashed from source, class and seed. Each row's draw is still
+uniform, so its chance of the extra copy is the fraction exactly, and of each
+class as many rows are taken as are due, to within about one.
+
+Equal rows have equal hashes. They are told by an aggregated count, and of n of
+them floor(n * fraction) or one more get the extra copy, so that a row that is
+repeated a million times is split as evenly as different rows.
 
 Defined results: a null or blank text has size 0 and is emitted floor(rate)
-times as any other; a source of no words at all has target 0 and rate 0. Null
-sources are one source, after all others. Rows that share a key are drawn
-alike; rows with a null key are drawn by their text. An empty table gives an
-empty result.
+times or once more as any other; a source of no words at all has target 0 and
+rate 0. Null sources are one source, after all others. Null keys are values
+like any others. Texts of any length are counted whole. Columns named like a
+result are replaced; names that start with two underscores are reserved. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +37,10 @@ from linemill.llm._common import WORD, broadcast_up_to, cut_lineage
 WEIGHTS = (3, 1, 2)
 #: The mix's size as a multiple of all sizes, and a target's bound as a multiple of its source's size.
 TOTAL, MOST = 1.5, 2.0
-#: Bins of draws in each size class; a class holds sizes of one power of two.
-BINS = 256
+#: Bins of hashes in each size class of a source; a class holds sizes of one power of two.
+BINS = 64
+#: Equal rows that one row stands for while they are shared out.
+CHUNK = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -75,56 +77,88 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int,
     return sizes.sparkSession.createDataFrame([(n, s, t) for (n, s), t in zip(rows, shares)], schema)
 
 
-def _draw(key: Column, text: Column, seed: int) -> Column:
-    return F.pmod(F.coalesce(F.xxhash64(F.lit(seed), key), F.xxhash64(F.lit(seed), text)), F.lit(1 << 40)) / float(1 << 40)
+def _uniform(*values: Column) -> Column:
+    """A number from 0 to below 1, hashed from values."""
+    return F.call_function("shiftrightunsigned", F.xxhash64(*values), F.lit(11)) / float(1 << 53)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def _row_draw(docs: DataFrame, seed: int) -> Column:
+    """A uniform draw that only equal rows share. Maps, which have no hash, are hashed as JSON; nulls are told from other values."""
+    columns = [(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema]
+    values = [F.to_json(F.struct(c)) if _has_map(kind) else c for c, kind in columns]
+    return _uniform(F.lit(seed), *values, *[c.isNull() for c, _ in columns])
 
 
 def _size_class(size: Column) -> Column:
     return F.when(size < 1, 0).otherwise(F.floor(F.log2(size.cast("double"))) + 1).cast("int")
 
 
-def class_thresholds(classes: np.ndarray, bins: np.ndarray, words: np.ndarray, fraction: float, bin_count: int = BINS) -> dict[int, float]:
-    """A draw's threshold for each size class of one source, from the largest class down."""
-    out: dict[int, float] = {}
-    due = got = 0.0
-    for one in sorted(set(classes.tolist()), reverse=True):
-        mine = np.zeros(bin_count)
-        np.add.at(mine, bins[classes == one], words[classes == one])
-        due += fraction * mine.sum()
-        reached = got + np.concatenate([[0.0], np.cumsum(mine)])
-        away = np.abs(reached - due)
-        # Of equally good thresholds, the one nearest to the fraction.
-        best = min(np.flatnonzero(away <= away.min() + 1e-9).tolist(), key=lambda k: abs(k / bin_count - fraction))
-        out[int(one)], got = best / bin_count, float(reached[best])
-    return out
+def _of(source: Column) -> Column:
+    """A key of the source that joins nulls as well."""
+    return F.xxhash64(source, source.isNull())
+
+
+def _plan(groups: DataFrame, rated: DataFrame, seed: int) -> DataFrame:
+    """For each source and class: its number of different rows, how many come before each bin, and its offset."""
+    bins = groups.where("__n = 1").groupBy("__of", "__class", F.floor(F.col("__draw") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    held = bins.groupBy("__of", "__class").agg(F.sum("n").alias("__rows"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))  # at most BINS entries
+    each = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at("held", b.cast("int")), F.lit(0).cast("long")))
+    upto = F.transform(F.sequence(F.lit(0), F.lit(BINS)), lambda b: F.aggregate(F.slice("each", F.lit(1), b), F.lit(0).cast("long"), lambda x, y: x + y))
+    counted = held.withColumn("each", each).withColumn("__before", upto).select("__of", "__class", "__rows", "__before")
+    # Classes of repeated rows only have no bins, but a rate.
+    classes = groups.select("__of", "__class").distinct()
+    turned = classes.join(counted, ["__of", "__class"], "left").withColumn("__turn", _uniform(F.lit(seed), F.lit("turn"), "__of", "__class"))
+    return turned.join(rated, "__of").select("__of", "__class", "__rows", "__before", "__turn", "source_size", "target", "__rate")
+
+
+def _even_draw() -> Column:
+    """The place of a row's hash in its class, from 0 to below 1, turned by the class's offset."""
+    spread = F.col("__draw") * BINS
+    at = F.floor(spread).cast("int")
+    low, high = F.get("__before", at), F.get("__before", at + 1)
+    place = (low + (spread - at) * (high - low)) / F.col("__rows")
+    return F.pmod(place + F.col("__turn"), F.lit(1.0))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 9) -> DataFrame:
-    """docs with size, source_size, target and copies, how often the mix takes each row.
+def _shared_out(repeated_rows: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """Rows that are repeated, each as often as it was, with copies shared out among equal ones.
 
-    Columns of these names are replaced.
+    Equal rows are counted before they are shuffled and come back in chunks of bounded size.
     """
+    names = ["__draw", "size", "source_size", "target", "__rate", "__fraction"]
+    one = repeated_rows.groupBy(*names).agg(F.count("*").alias("__times"), F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__row"))
+    extra = F.floor(F.col("__times") * F.col("__fraction") + _uniform(F.lit(seed), F.lit("equal"), "__draw"))
+    chunks = one.withColumn("__extra", extra).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1, F.lit(CHUNK).cast("long"))))
+    spread = chunks.repartition(F.col("__draw"), F.col("__from"))
+    each = spread.withColumn("__at", F.explode(F.sequence("__from", F.least(F.col("__from") + CHUNK, F.col("__times")) - 1)))
+    copies = F.floor("__rate") + (F.col("__at") < F.col("__extra")).cast("int")
+    return each.select("__row.*", "size", "source_size", "target", copies.cast("int").alias("copies"))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 9) -> DataFrame:
+    """docs with size, source_size, target and copies, how often the mix takes each row."""
     docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumn("size", word_count(F.col(f"`{text}`"))).withColumn("__draw", _draw(F.col(f"`{key}`"), F.col(f"`{text}`"), seed)).withColumn("__class", _size_class(F.col("size")))
-    histogram = cut_lineage(
-        sized.groupBy(F.col(f"`{source}`").alias("__source"), "__class", F.floor(F.col("__draw") * BINS).cast("int").alias("__bin")).agg(F.sum("size").alias("__words"))
-    )
-    targets = cut_lineage(source_targets(histogram.groupBy("__source").agg(F.sum("__words").alias("__size")), "__source", "__size", weights, total, most))
-    rated = targets.withColumn("__rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    schema = T.StructType([T.StructField("__source", T.StringType()), T.StructField("__class", T.IntegerType()), T.StructField("__threshold", T.DoubleType())])
-
-    def thresholds(part: pd.DataFrame) -> pd.DataFrame:
-        rate = float(part["__rate"].iloc[0])
-        found = class_thresholds(part["__class"].to_numpy(), part["__bin"].to_numpy(), part["__words"].to_numpy(np.float64), rate - np.floor(rate))
-        return pd.DataFrame({"__source": part["__source"].iloc[0], "__class": list(found), "__threshold": list(found.values())})
-
-    by_source = histogram.join(rated, histogram["__source"].eqNullSafe(rated["__source"])).select(rated["__source"], "__class", "__bin", "__words", "__rate")
-    # At most BINS rows for each of some forty classes of a source come together.
-    limits = by_source.groupBy("__source").applyInPandas(thresholds, schema)
-    plan = cut_lineage(limits.join(rated.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).drop("__of").withColumnRenamed("__source", "__of").withColumnRenamed("__class", "__of_class"))
-    placed = sized.join(broadcast_up_to(plan, 100_000), F.col(f"`{source}`").eqNullSafe(F.col("__of")) & (F.col("__class") == F.col("__of_class")))
-    copies = (F.floor("__rate") + (F.floor(F.col("__draw") * BINS) < F.col("__threshold") * BINS).cast("int")).cast("int")
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", copies.alias("copies"))
+    columns = docs.columns
+    sized = docs.withColumn("size", word_count(F.col(f"`{text}`"))).withColumn("__draw", _row_draw(docs, seed)).withColumn("__of", _of(F.col(f"`{source}`"))).withColumn("__class", _size_class(F.col("size")))
+    groups = cut_lineage(sized.groupBy("__of", F.col(f"`{source}`").alias("__source"), "__class", "__draw").agg(F.count("*").alias("__n"), F.sum("size").alias("__words")))
+    sums = groups.groupBy("__source").agg(F.sum("__words").alias("__size"))
+    targets = source_targets(sums, "__source", "__size", weights, total, most)
+    rated = targets.select(_of(F.col("__source")).alias("__of"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
+    several = groups.where("__n > 1").select("__draw").distinct().withColumn("__equal", F.lit(True))
+    plan = cut_lineage(_plan(groups, rated, seed))
+    placed = sized.join(broadcast_up_to(plan, 20_000), ["__of", "__class"]).join(broadcast_up_to(cut_lineage(several), 200_000), "__draw", "left")
+    placed = placed.withColumn("__fraction", F.col("__rate") - F.floor("__rate"))
+    copies = F.floor("__rate") + (_even_draw() < F.col("__fraction")).cast("int")
+    single = placed.where(F.col("__equal").isNull()).select(*[F.col(f"`{c}`") for c in columns], "size", "source_size", "target", copies.cast("int").alias("copies"))
+    if several.isEmpty():
+        return single
+    return single.unionByName(_shared_out(placed.where("__equal"), columns, seed))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
