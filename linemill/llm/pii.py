@@ -13,7 +13,9 @@ a valid find, byte for byte; whole texts of any length are searched; a value
 may change into itself only by the chance of the permutation. Rows are treated
 each on its own, other columns pass through, and an empty table gives an empty
 result. Dates with slashes are read month first, and day first where that is no
-date.
+date; either are permuted among themselves, so no two written dates of a form
+get one pseudonym. Dates out of the range of the permutation, addresses with
+leading zeros and account numbers with check digits that no bank issues stay.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 #: First day and number of days of the dates that are permuted among each other, as a product.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 215, 340
+#: Most steps on a cycle; two days in five lie in a month's first twelve, so a longer walk has a chance of 0.4 ** 64.
+WALK = 64
 
 #: Lengths of account numbers by country; those of other countries may have any length.
 IBAN_LENGTHS = dict(
@@ -49,7 +53,7 @@ _CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}
 _PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=[ .-])\d{3}[ .-]|(?<![\d.+-])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)"
 _SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 _DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
-_IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+_IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 NUMBERS = "|".join((_CARD, _SSN, _DATE, _IP, _PHONE))
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,16}\p{L}{2,63}"
 
@@ -151,7 +155,8 @@ def _iban_valid(value: Column) -> Column:
         lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
         known = F.try_element_at(lengths, _iban_country(flat))
         turned = F.concat(F.substr(flat, F.lit(5), F.length(flat) - 4), F.substr(flat, F.lit(1), F.lit(4)))
-        return F.coalesce(known == F.length(flat), F.lit(True)) & (_modulo_97(turned) == 1)
+        check = F.substr(flat, F.lit(3), F.lit(2)).cast("int")
+        return F.coalesce(known == F.length(flat), F.lit(True)) & check.between(2, 98) & (_modulo_97(turned) == 1)
 
     return _let(F.regexp_replace(value, " ", ""), checked)
 
@@ -204,13 +209,30 @@ def _address(value: Column, key: str) -> Column:
     return _let(moved, lambda m: F.concat_ws(".", *[x.cast("string") for half in ("l", "r") for x in (F.floor(m[half] / 256), m[half] % 256)]))
 
 
+def _moved_day(index: Column, key: str) -> Column:
+    return _permuted_index(index, DAYS_LEFT, DAYS_RIGHT, key, "date")
+
+
+def _day(index: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), index.cast("int"))
+
+
+def _moved_late_day(index: Column, key: str) -> Column:
+    """Permutation of the days after a month's twelfth: the next such day on the cycle of the permutation of all days."""
+    late = lambda i: F.dayofmonth(_day(i)) > 12
+    step = lambda state, _: F.when(late(state), state).otherwise(_moved_day(state, key))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _moved_day(index, key), step)
+
+
 def _date(value: Column, key: str) -> Column:
+    """Pseudonym of a date written in one of four forms; month-first and day-first dates are permuted among their own."""
     out = value
-    for form in ("dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"):
+    for form, moved in (("dd/MM/yyyy", _moved_late_day), ("MM/dd/yyyy", _moved_day), ("dd.MM.yyyy", _moved_day), ("yyyy-MM-dd", _moved_day)):
         shape = form.replace("dd", r"\d{2}").replace("MM", r"\d{2}").replace("yyyy", r"\d{4}").replace(".", r"\.")
         index = F.datediff(F.try_to_date(value, form), F.lit(FIRST_DAY).cast("date")).cast("long")
-        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), _permuted_index(index, DAYS_LEFT, DAYS_RIGHT, key, "date").cast("int"))
-        out = F.when(value.rlike(f"^{shape}$") & index.between(0, DAYS_LEFT * DAYS_RIGHT - 1), F.date_format(moved, form)).otherwise(out)
+        new = F.date_format(_day(moved(index, key)), form)
+        # The later form wins, so a date that has a month-first reading is month first.
+        out = F.when(value.rlike(f"^{shape}$") & index.between(0, DAYS_LEFT * DAYS_RIGHT - 1), new).otherwise(out)
     return out
 
 
