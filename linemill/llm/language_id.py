@@ -11,8 +11,10 @@ every whole text is predicted.
 
 Defined results: a null text or one without a letter is `und` with score 0;
 without labelled rows every text is; one learned language is always predicted,
-with score 1. Null languages are not learned from. Rows are predicted each on
-its own; an empty table gives an empty result.
+with score 1. Null languages are not learned from. Of languages of equal share
+the first by name is predicted. Rows are predicted each on its own, repeated
+ones alike, and texts of any length whole, a block of bytes at a time; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from linemill.llm.shingles import mix
 
 #: Most labelled rows that the fit takes, bins of n-grams, and steps of the fit.
 SAMPLE_ROWS, BINS, STEPS = 6_000, 4096, 250
+#: Most languages that are learned; below SAMPLE_ROWS, so the sample keeps its bound.
+MOST_LANGUAGES = 2_000
 #: Characters of a text's block of n-grams at a time.
 BLOCK_BYTES = 1 << 20
 #: Below this gap between the best two languages' shares a prediction is ambiguous.
@@ -109,19 +113,48 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["vector", "language"])
 
 
+def solve(vectors: list[bytes], languages: list[str], names: list[str]) -> Coder:
+    """A coder of sample vectors and their languages, whatever their order."""
+    order = sorted(range(len(vectors)), key=lambda i: (languages[i], vectors[i]))
+    x = np.stack([np.frombuffer(vectors[i], np.float16) for i in order]).astype(np.float32)
+    code, place = codewords(len(names)), {n: i for i, n in enumerate(names)}
+    y = code[[place[languages[i]] for i in order]].astype(np.float32)
+    w, b = _fit_bits(x, y)
+    right = np.clip(((x @ w + b) * y > 0).mean(axis=0), 0.51, 0.999)
+    trust = np.log(right / (1 - right))
+    return Coder(names, code, w, b, trust / trust.mean())
+
+
+def _fitted(sample: DataFrame, names: list[str]) -> Coder:
+    """The coder of a bounded frame of text and language. One task solves it; only the weights reach the driver."""
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, languages = [], []
+        for batch in batches:
+            vectors += batch.column(0).to_pylist()
+            languages += batch.column(1).to_pylist()
+        if vectors:
+            coder = solve(vectors, languages, names)
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(v, np.float32).tobytes()], pa.binary()) for v in (coder.weights, coder.bias, coder.trust)], names=["weights", "bias", "trust"])
+
+    rows = sample.mapInArrow(_vectors, "vector binary, language string").repartition(1).mapInArrow(solved, "weights binary, bias binary, trust binary").collect()
+    weights, bias, trust = (np.frombuffer(rows[0][name], np.float32) for name in ("weights", "bias", "trust"))
+    return Coder(names, codewords(len(names)), weights.reshape(BINS, -1), bias, trust)
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", folds: int = 3, fold: int = 1, sample_rows: int = SAMPLE_ROWS) -> Coder:
-    """A coder of all languages that rows outside the held-out fold name.
+    """A coder of the languages that rows outside the held-out fold name, at most the MOST_LANGUAGES with the most keys.
 
     The sample is drawn by key hash from the keys of each language, with the
     text of the least hash of each key; its bound is shared by the languages,
     so rare languages keep all their keys. No more rows are gathered.
     """
     learn = docs.where(F.col(f"`{language}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull() & (crc_fold(F.col(f"`{key}`"), folds) != fold))
-    found = learn.groupBy(F.col(f"`{language}`").alias("language")).agg(F.approx_count_distinct(F.col(f"`{key}`"), 0.02).alias("count")).orderBy("language").collect()
-    names = [r["language"] for r in found]
+    found = learn.groupBy(F.col(f"`{language}`").alias("language")).agg(F.approx_count_distinct(F.col(f"`{key}`"), 0.02).alias("count")).orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES).collect()
+    names = sorted(r["language"] for r in found)
     if len(names) < 2:
         return Coder(names, codewords(len(names)), np.zeros((BINS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
-    each = max(8, sample_rows // len(names))
+    each = max(1, sample_rows // len(names))
     # The draw's threshold passes about 1.2 times the bound, and the bound then holds exactly.
     reach = F.create_map(*[x for r in found for x in (F.lit(r["language"]), F.lit(min(1.0, (1.2 * each + 60) / r["count"])))])
     draw = F.pmod(F.xxhash64(F.lit("coder"), F.col(f"`{key}`")), F.lit(1 << 30)) / float(1 << 30)
@@ -129,15 +162,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
     one = near.groupBy("language", "draw", "key").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
     place = F.row_number().over(Window.partitionBy("language").orderBy("draw", "key"))
     bounded = one.withColumn("place", place).where(F.col("place") <= each)
-    rows = bounded.select("least.text", "language").mapInArrow(_vectors, "vector binary, language string").toPandas()
-    rows = rows.sort_values(["language", "vector"], kind="stable")
-    x = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"]]).astype(np.float32)
-    code = codewords(len(names))
-    y = code[rows["language"].map({n: i for i, n in enumerate(names)}).to_numpy()].astype(np.float32)
-    w, b = _fit_bits(x, y)
-    right = ((x @ w + b) * y > 0).mean(axis=0)
-    trust = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
-    return Coder(names, code, w, b, trust / trust.mean())
+    return _fitted(bounded.select("least.text", "language"), names)
 
 
 def predict(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:

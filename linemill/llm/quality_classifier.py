@@ -9,10 +9,14 @@ them, in blocks, by exact cosine. The share of good labels among the nearest,
 weighted by similarity, is the score.
 
 Defined results: a null, empty or blank text has the single term "empty" and
-so the votes of the shortest texts; rows are scored each on its own, so ties
+so the votes of labelled texts like it; a text that shares nothing with the
+labelled ones has the share of good labels among all; rows are scored each on its own, so ties
 and repeats agree; null labels are left out; without any labelled row the score
-is the prior 0.5; null keys are scored and are not held out; an empty table
-gives an empty result.
+is the prior 0.5; null keys are scored and are not held out; texts of any length
+are scored whole, the terms of one text at a time; of a key with several texts
+one is learned from; equally near neighbours beyond the last vote are told
+apart by their place among the fitted vectors; an empty table gives an empty
+result. Columns of other names do no harm.
 """
 
 from __future__ import annotations
@@ -122,11 +126,14 @@ class Voters(NamedTuple):
             return np.full(len(texts), 0.5)
         out = np.empty(len(texts))
         for at in range(0, len(texts), BLOCK):
-            near = _unit(_dense([terms(t) for t in texts[at : at + BLOCK]], self.idf) @ self.axes) @ self.vectors.T
+            latent = _dense([terms(t) for t in texts[at : at + BLOCK]], self.idf) @ self.axes
+            near = _unit(latent) @ self.vectors.T
             k = min(NEIGHBOURS, near.shape[1])
             best = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.clip(np.take_along_axis(near, best, axis=1), 1e-6, 1).astype(np.float64) ** SHARPNESS
-            out[at : at + BLOCK] = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+            votes = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+            # What shares no axis with any voter is near none: all vote.
+            out[at : at + BLOCK] = np.where(np.linalg.norm(latent, axis=1) > 1e-6, votes, self.labels.mean())
         return np.clip(out, 0, 1)
 
 
@@ -136,14 +143,10 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist() for w, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32())), batch.column(1)], names=["at", "weight", "label"])
 
 
-def fit(labelled: DataFrame) -> Voters:
-    """Voters of a bounded frame of text and label."""
-    rows = labelled.mapInArrow(_sparse, "at array<int>, weight array<float>, label int").toPandas()
-    found = [(np.asarray(a, np.int32), np.asarray(w, np.float32)) for a, w in zip(rows["at"], rows["weight"])]
-    if not found:
-        return Voters(np.ones(_TERMS, np.float32), np.zeros((_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    order = sorted(range(len(found)), key=lambda i: (len(found[i][0]), found[i][0].tobytes(), found[i][1].tobytes(), rows["label"][i]))
-    found, labels = [found[i] for i in order], rows["label"].to_numpy(np.float64)[order]
+def solve(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Voters:
+    """Voters of sparse rows and their labels, whatever their order."""
+    order = sorted(range(len(found)), key=lambda i: (len(found[i][0]), found[i][0].tobytes(), found[i][1].tobytes(), labels[i]))
+    found, labels = [found[i] for i in order], labels[order]
     seen = np.bincount(np.concatenate([w for w, _ in found]), minlength=_TERMS)
     idf = np.sqrt(np.log((1 + len(found)) / (1 + seen)) + 1).astype(np.float32)
     matrix = _dense(found, idf)
@@ -152,6 +155,28 @@ def fit(labelled: DataFrame) -> Voters:
     return Voters(idf, axes, _unit(matrix @ axes), labels)
 
 
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, labels = [], []
+    for batch in batches:
+        at, weight, label = (batch.column(i).to_pylist() for i in range(3))
+        found += [(np.asarray(a, np.int32), np.asarray(w, np.float32)) for a, w in zip(at, weight)]
+        labels += label
+    if found:
+        voters = solve(found, np.asarray(labels, np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in voters], names=list(Voters._fields))
+
+
+def fit(labelled: DataFrame) -> Voters:
+    """Voters of a bounded frame of text and label. One task solves it; only the fitted arrays reach the driver."""
+    sparse = labelled.mapInArrow(_sparse, "at array<int>, weight array<float>, label int").repartition(1)
+    rows = sparse.mapInArrow(_solved, ", ".join(f"{name} binary" for name in Voters._fields)).collect()
+    if not rows:
+        return Voters(np.ones(_TERMS, np.float32), np.zeros((_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+    idf, axes, vectors = (np.frombuffer(rows[0][name], np.float32) for name in ("idf", "axes", "vectors"))
+    labels = np.frombuffer(rows[0]["labels"], np.float64)
+    return Voters(idf, axes.reshape(_TERMS, -1), vectors.reshape(len(labels), -1), labels)
+
+
 def quality_scores(docs: DataFrame, voters: Voters, text: str = "text", score: str = "score") -> DataFrame:
     """docs with a column score from 0 to 1 (one of that name is replaced); its other columns pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(voters))

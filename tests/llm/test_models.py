@@ -119,10 +119,51 @@ def test_voters_of_a_repeated_key_are_one_row(spark):
 
 def test_coder_takes_one_text_of_a_repeated_key(spark, monkeypatch):
     sizes = []
-    fit = language_id._fit_bits
-    monkeypatch.setattr(language_id, "_fit_bits", lambda x, y: (sizes.append(len(x)), fit(x, y))[1])
+    fitted = language_id._fitted
+    monkeypatch.setattr(language_id, "_fitted", lambda sample, names: (sizes.append(sample.count()), fitted(sample, names))[1])
     rows = [(1, f"the cat {i}", "en") for i in range(400)] + [(i, ["le chien", "the dog"][i % 2], ["fr", "en"][i % 2]) for i in range(2, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learnt = {r["doc_id"] for r in docs.where(language_id.crc_fold(F.col("doc_id"), 3) != 1).collect()}
     language_id.train(docs)
     assert 1 in learnt and sizes == [len(learnt)]
+
+
+def test_votes_against_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    voters = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    some = [*docs.orderBy("doc_id").limit(60).collect(), (None, None), (-1, "w " * 300_000), (-2, "one two"), (-3, "one two")]
+    frame = spark.createDataFrame([tuple(r) for r in some], "doc_id long, text string")
+    scores = [r["score"] for r in quality_classifier.quality_scores(frame.coalesce(1), voters).collect()]
+    for (_, text), score in zip(some, scores):
+        sparse = dict(zip(*(x.tolist() for x in quality_classifier.terms(text))))
+        weighted = {t: w * float(voters.idf[t]) for t, w in sparse.items()}
+        norm = sum(w * w for w in weighted.values()) ** 0.5
+        latent = [sum(w / norm * float(voters.axes[t, d]) for t, w in weighted.items()) for d in range(voters.axes.shape[1])]
+        size = sum(x * x for x in latent) ** 0.5
+        if size < 1e-6:
+            assert abs(score - float(voters.labels.mean())) < 1e-9
+            continue
+        near = sorted(((sum(a / size * float(b) for a, b in zip(latent, v)), float(y)) for v, y in zip(voters.vectors, voters.labels)), reverse=True)
+        votes = [(max(1e-6, min(1, s)) ** quality_classifier.SHARPNESS, y) for s, y in near[: quality_classifier.NEIGHBOURS]]
+        assert abs(score - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 0.05  # one of equally near voters may differ
+    assert scores[-1] == scores[-2]
+
+
+def test_decoding_against_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    coder = language_id.train(docs)
+    some = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()] + ["le chat " * 200_000, "le chat " * 200_000]
+    found = language_id.predict(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1), coder).collect()
+    for text, row in zip(some[:40], found):
+        raw = b"  " + text.lower().encode() + b"  "
+        counts = np.zeros(language_id.BINS)
+        for n in (1, 2, 3):
+            for i in range(len(raw) - 2):
+                gram = sum(b << 8 * k for k, b in enumerate(raw[i : i + n]))
+                counts[int(language_id.mix(np.array([gram | n << 32], np.uint64))[0] >> np.uint64(40)) % language_id.BINS] += 1
+        vector = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))
+        margins = [float(vector @ coder.weights[:, b] + coder.bias[b]) for b in range(coder.code.shape[1])]
+        losses = [sum(np.log1p(np.exp(-m * c)) * t for m, c, t in zip(margins, word, coder.trust)) for word in coder.code.tolist()]
+        shares = np.exp(-np.array(losses)) / np.exp(-np.array(losses)).sum()
+        assert row["lang_pred"] == coder.languages[int(shares.argmax())] and abs(row["score"] - shares.max()) < 1e-3
+    assert found[-1]["lang_pred"] == found[-2]["lang_pred"] and found[-1]["score"] == found[-2]["score"]
