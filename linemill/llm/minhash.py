@@ -11,14 +11,15 @@ Sets that are equal are one class from the start, found by fingerprint, so
 large groups of copies cost one row. Within a bucket nobody is compared with
 everybody at once: each class first meets one leader, components are formed,
 and only classes of different components in one bucket are compared after that,
-in small buckets as pairs, in large ones as blocks against blocks. No bucket is
-cut.
+in small buckets as pairs, in large ones as blocks against blocks that share a
+bucket. No bucket is cut.
 
 Defined results: texts that are null, empty or without words have an empty set
 and are linked with nothing. Documents with equal sets are linked whatever
 their length. Rows that share a key are one node. A row with a null key takes
-no part in linking; its component is null and it is kept. An empty table gives
-an empty result. Columns of other names do no harm.
+no part in linking; its component is null and it is kept. Sets of texts of any
+length are whole. An empty table gives an empty result. Columns of other names
+do no harm.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from linemill.llm.shingles import mix, shingle_set
 COLLECTIONS, ROWS = 12, 3
 #: Most classes of a bucket whose unmet members are compared as pairs; beyond it, in blocks of so many classes.
 SMALL_BUCKET, BLOCK_CLASSES = 12, 64
+#: Copies of a set beyond which its class is broadcast to its rows.
+HOT_ROWS = 1_000
 _BLOCK = 4096
 
 
@@ -117,9 +120,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, collections: int) -> DataFrame:
-    """(table_key, rep, leader, n) of all table keys that n > 1 classes have; the leader is the least of them."""
+    """(table_key, rep, leader, n) of all table keys that n > 1 classes have; the leader is the least of them.
+
+    Classes are small rows that become collections ** 2 each, so they are dealt
+    to all tasks first: adaptive execution would leave them in few.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = (
-        classes.select("rep", F.posexplode(F.slice("short", 1, collections)).alias("i", "x"), F.slice("short", collections + 1, collections).alias("other"))
+        classes.repartition(parts, "rep")
+        .select("rep", F.posexplode(F.slice("short", 1, collections)).alias("i", "x"), F.slice("short", collections + 1, collections).alias("other"))
         .select("rep", "i", "x", F.posexplode("other").alias("j", "y"))
         .select(F.xxhash64("i", "j", "x", "y").alias("table_key"), "rep")
     )
@@ -141,28 +150,30 @@ def _unmet_pairs(small: DataFrame) -> DataFrame:
     return met.select(F.col("rep").alias("a"), F.col("mate").alias("b")).distinct()
 
 
-def _unmet_in_families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _unmet_in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components in large buckets, compared block by block.
 
-    Classes that large buckets connect are a family. Its main component's
-    classes and all others are dealt to blocks of bounded size; every block of
-    the others meets every block of the family, as packed sets, in a task.
+    A class's home is the least large bucket that it is in. Of a home the
+    classes of its largest component and all others are dealt to blocks of
+    bounded size, so blocks hold classes of the same buckets. Two blocks meet,
+    as packed sets in a task, once if they share any bucket and are not of one
+    component.
     """
-    hubs = large.groupBy("table_key").agg(F.min("rep").alias("a"))
-    families = components(large.join(hubs, "table_key").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
-    classes = large.select("rep", "component").distinct().join(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep", "left")
-    classes = cut_lineage(classes.select("rep", "component", F.coalesce("family", "rep").alias("family")))
-    counts = classes.groupBy("family", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    main = main.select("family", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_other"))
-    told = classes.join(main, "family").withColumn("is_main", F.col("component") == F.col("main"))
+    homes = large.groupBy("rep", "component").agg(F.min("table_key").alias("home"))
+    counts = homes.groupBy("home", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("home").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("home", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_other"))
+    told = homes.join(main, "home").withColumn("is_main", F.col("component") == F.col("main"))
     blocks = F.ceil(F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other")) / BLOCK_CLASSES)
-    dealt = told.select("rep", "component", F.struct("family", "is_main", F.pmod(F.xxhash64("rep"), blocks).alias("salt")).alias("block"))
+    salt = F.pmod(F.xxhash64("rep"), blocks)
+    dealt = cut_lineage(told.select("rep", "component", F.xxhash64("home", "is_main", salt).alias("block")))
     packed = cut_lineage(dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "set")).alias("held")))
-    names = packed.select("block", F.col("block.family").alias("family"))
-    others = names.where("not block.is_main").withColumnRenamed("block", "other")
-    meet = others.join(names, "family").where("block.is_main or other.salt <= block.salt").select("other", "block")
-    both = meet.join(packed.select(F.col("block").alias("other"), F.col("held").alias("x")), "other").join(packed.select("block", F.col("held").alias("y")), "block").select("x", "y")
+    range_ = dealt.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    places = cut_lineage(large.select("table_key", "rep").join(dealt.select("rep", "block"), "rep").select("table_key", "block").distinct().join(range_, "block"))
+    others = places.select("table_key", *[F.col(c).alias(f"other_{c}") for c in ("block", "low", "high")])
+    one_component = (F.col("low") == F.col("high")) & (F.col("other_low") == F.col("other_high")) & (F.col("low") == F.col("other_low"))
+    meet = places.join(others, "table_key").where((F.col("block") <= F.col("other_block")) & ~one_component).select("block", "other_block").distinct()
+    both = meet.join(packed.select(F.col("block").alias("other_block"), F.col("held").alias("x")), "other_block").join(packed.select("block", F.col("held").alias("y")), "block").select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +216,21 @@ def _of_several_texts(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return places.join(places.groupBy("id").agg(F.min("rep").alias("low")), "id").where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
 
 
+def _placed(signed: DataFrame, places: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows with their class's component (null without a set).
+
+    Classes of many copies meet their rows by a broadcast, so a text that a
+    third of all rows share isn't one task's work; rows without a set need none.
+    """
+    empty = signed.where("print is null").withColumn("component", F.lit(None).cast("long"))
+    hot = places.where(F.col("copies") > hot_rows).select("print", F.col("component").alias("hot_component"))
+    marked = signed.where("print is not null").join(broadcast_up_to(cut_lineage(hot), 200_000), "print", "left")
+    columns = ["id", "n_shingles", "component"]
+    met = marked.where("hot_component is not null").withColumnRenamed("hot_component", "component").select(columns)
+    rest = marked.where("hot_component is null").join(places.where(F.col("copies") <= hot_rows).select("print", "component"), "print", "left")
+    return empty.select(columns).union(met).union(rest.select(columns))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id, kept.
 
@@ -212,7 +238,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links (itself included); kept says whether that is the row's own key.
     """
     signed = cut_lineage(signatures(docs, key, text, words, collections, rows))
-    classes = signed.where("id is not null and print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("short").alias("short"))
+    classes = signed.where("id is not null and print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("short").alias("short"), F.count("*").alias("copies"))
     members = cut_lineage(_buckets(classes, collections))
     needed = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     nodes = broadcast_up_to(cut_lineage(members.select(F.col("rep").alias("id")).distinct()), 200_000)
@@ -223,9 +249,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = cut_lineage(_of_several_texts(signed, classes).union(confirmed(first, sets, percent)))
     still = _open_members(members, cut_lineage(components(links)))
     pairs = _unmet_pairs(still.where(F.col("n") <= SMALL_BUCKET)).join(first, ["a", "b"], "left_anti")
-    links = links.union(confirmed(cut_lineage(pairs), sets, percent)).union(_unmet_in_families(still.where(F.col("n") > SMALL_BUCKET), sets, percent))
+    links = links.union(confirmed(cut_lineage(pairs), sets, percent)).union(_unmet_in_blocks(still.where(F.col("n") > SMALL_BUCKET), sets, percent))
 
     of = components(links).withColumnRenamed("node", "rep")
-    places = classes.select("print", "rep").join(of, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+    places = cut_lineage(classes.select("print", "rep", "copies").join(of, "rep", "left").select("print", "copies", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return signed.join(places, "print", "left").select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return _placed(signed, places).select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
