@@ -12,8 +12,11 @@ others are revisits that name it and carry no payload.
 Defined results: a null payload is empty; empty payloads are equal to each
 other like any others (least_bytes keeps shorter ones apart); rows with a null
 key are written and read back with a null key and lose ties to all others;
-repeated rows of one key and payload are one response each. An empty table
-gives no archives and an empty result.
+repeated rows of one key and payload are one response each. A payload is one
+record of one frame; with its head it has to fit an archive that binaryFile can
+read (2 GB compressed). Columns of other names do no harm. An empty table gives
+no archives and an empty result. Archives are written through Arrow's file
+systems: local, HDFS, S3 and Google Cloud Storage paths.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from linemill.llm._common import broadcast_up_to, cut_lineage
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Uncompressed bytes after which an archive is closed, and of one dictionary at most.
 ARCHIVE_BYTES, DICTIONARY_BYTES = 64 << 20, 16 << 10
-#: Payloads of a task that its dictionary is cut from.
-DICTIONARY_PAYLOADS = 64
+#: Records of a task that its dictionary is trained on, and the bytes of each payload that count.
+DICTIONARY_RECORDS, SAMPLE_BYTES = 256, 8 << 10
+#: Most archives whose names are broadcast to the readers; a name is shorter than 64 bytes.
+MOST_NAMES = 2_000_000
 LEVEL = 3
 
 _VERSION = b"WARC/1.1"
@@ -111,10 +116,15 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def dictionary_of(payloads: list[bytes]) -> bytes:
-    """Raw-content dictionary: the ends of sample payloads, the most general last."""
-    each = max(1, DICTIONARY_BYTES // max(1, len(payloads)))
-    return b"".join(p[:each] for p in payloads)[:DICTIONARY_BYTES]
+def dictionary_of(records: list[bytes]) -> bytes:
+    """A dictionary trained on sample records; where they are too few or too short to train on, their starts as raw content."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
+    except zstandard.ZstdError:
+        each = max(1, DICTIONARY_BYTES // max(1, len(records)))
+        return b"".join(r[:each] for r in records)[:DICTIONARY_BYTES]
 
 
 def archive_head(dictionary: bytes) -> bytes:
@@ -183,8 +193,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         for batch in batches:
             keys, urls, payloads, refers = (batch.column(i).to_pylist() for i in range(4))
             if coder is None:
-                dictionary = dictionary_of([(p or "").encode() for p in payloads[:DICTIONARY_PAYLOADS]])
-                held = {"dict_data": zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if dictionary else {}
+                sample = [record_bytes(one or _NO_KEY, address or "", "", (body or "").encode()[:SAMPLE_BYTES], None) for one, address, body in zip(keys[:DICTIONARY_RECORDS], urls, payloads)]
+                dictionary = dictionary_of(sample)
+                held = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
                 coder = zstandard.ZstdCompressor(level=LEVEL, **held)
             for one, address, body, response in zip(keys, urls, payloads, refers):
                 if out is None:
@@ -214,7 +225,8 @@ RECORD = "key string, url string, record_type string, refers_to string, payload_
 def read_archives(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
     """The validated records of the archives that written names.
 
-    A broken archive fails the task that reads it, with the archive's name.
+    The names are broadcast, so archives are read where they are and not
+    shuffled. A broken archive fails the task that reads it, with its name.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +246,7 @@ def read_archives(spark: SparkSession, folder: str, written: DataFrame) -> DataF
                     yield _batch(found)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(written.select("name"), "name", "left_semi")
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(broadcast_up_to(written.select("name"), MOST_NAMES), "name", "left_semi")
     return named.select("name", "content").mapInArrow(read, RECORD)
 
 
