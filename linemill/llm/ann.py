@@ -6,18 +6,19 @@ far by the distance of their centres, and the nearest is opened next. How many
 rows' worth of leaves a query visits is calibrated: for a bounded set of rows
 as probes, their true neighbours among all rows are found in blocks, and visits
 are widened until the wanted recall is reached on them. However small that is,
-a query goes on until its leaves hold as many rows of other keys as it wants. Distances of visited rows are exact, in double
-precision.
+a query goes on until its leaves hold as many rows of other keys as it wants.
+Distances of visited rows are exact, in double precision.
 
-Leaves are cut into chunks of bounded size, so a leaf that holds a third of all
+Leaves are cut into chunks of bounded size, and a large leaf's chunks are dealt
+to several parts that each meet its queries, so a leaf that holds a third of all
 rows (equal vectors) is many tasks' work; queries meet a chunk in blocks.
 
 Defined results: null vectors, vectors of another length than the index, zero
 vectors and those with null or non-finite components take no part, neither as
 queries nor as candidates. Equal distances go to the smaller key. Fewer
 candidates than neighbours give fewer rows. Rows of an equal key are all
-candidates, but never of a query of that key; null keys take no part. An empty
-table gives an empty result.
+candidates, but never of a query of that key; null keys take no part. Columns
+of other names do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ SAMPLE_ROWS, LEAF_ROWS, BRANCHES = 20_000, 256, 8
 MOST_LEAVES = 16_384
 #: Probes of the calibration, the recall it widens to, and rows of a chunk.
 PROBES, RECALL, CHUNK_ROWS = 128, 0.95, 4_096
+#: Rows of a leaf that meet its queries in one part; a larger leaf's chunks are dealt to several, each with all queries.
+PART_ROWS = 32_768
 #: Queries that meet a chunk at once.
 QUERY_BLOCK = 128
 #: Partial results that a task holds and thins to the nearest of each query.
@@ -47,7 +51,11 @@ HELD_ROWS = 400_000
 
 
 class Tree(NamedTuple):
-    """Nodes of a k-means tree. Children of node i are first[i] .. first[i] + count[i]; a leaf has none."""
+    """Nodes of a k-means tree. Children of node i are first[i] .. first[i] + count[i]; a leaf has none.
+
+    The root's centre is the sample's mean; the other centres are told from it,
+    so that vectors far from the origin are compared as well as those around it.
+    """
 
     centres: np.ndarray
     first: np.ndarray
@@ -58,6 +66,7 @@ class Tree(NamedTuple):
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf that each vector falls into, nearest centre by nearest centre."""
+        vectors = vectors - self.centres[0]
         at = np.zeros(len(vectors), np.int64)
         while True:
             inner = np.flatnonzero(self.count[at] > 0)
@@ -70,6 +79,7 @@ class Tree(NamedTuple):
 
     def best_bins(self, vector: np.ndarray, rows: np.ndarray, budget: float, least: float = 0.0) -> list[int]:
         """Leaves in the order of a best-bin-first walk, until they hold so many rows, and at least `least`."""
+        vector = vector - self.centres[0]
         queue: list[tuple[float, int]] = [(0.0, 0)]
         found: list[int] = []
         held = 0.0
@@ -108,7 +118,9 @@ def grow(sample: np.ndarray, leaves: int, branches: int = BRANCHES, seed: int =
     """A tree of about so many leaves; the fullest node is split next."""
     rng = np.random.default_rng(seed)
     dims = sample.shape[1] if sample.ndim == 2 and len(sample) else 1
-    centres, first, count = [np.zeros(dims)], [0], [0]
+    mean = sample.mean(axis=0) if dims > 1 or len(sample) else np.zeros(dims)
+    sample = sample - mean if len(sample) else sample
+    centres, first, count = [mean], [0], [0]
     parts: list[tuple[int, int, np.ndarray]] = [(-len(sample), 0, np.arange(len(sample)))] if len(sample) else []
     have = 1
     while parts and have < leaves:
@@ -145,15 +157,19 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 def _nearest(queries: np.ndarray, query_keys: np.ndarray, rows: np.ndarray, row_keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the k nearest rows of another key: query index, row index, distance."""
-    rough = np.sqrt(_squared(queries, rows))
+    mean = rows.mean(axis=0) if len(rows) else 0.0
+    x, y = queries - mean, rows - mean
+    rough = _squared(x, y)
+    # What rounding can add to or take from a rough squared distance.
+    slack = 1e-13 * rows.shape[1] ** 0.5 * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None])
     rough[query_keys[:, None] == row_keys[None]] = np.inf
     at_q, at_r = [], []
     for i in range(len(queries)):
         line = rough[i]
         if len(line) > k:
             # Rounding of the rough distance must not decide, nor may ties be lost.
-            edge = np.partition(line, k - 1)[k - 1]
-            near = np.flatnonzero((line <= edge + 1e-6 * (1 + edge)) & (line < np.inf))
+            edge = np.partition(line + slack[i], k - 1)[k - 1]
+            near = np.flatnonzero((line - slack[i] <= edge) & (line < np.inf))
         else:
             near = np.flatnonzero(line < np.inf)
         exact = np.sqrt(((rows[near] - queries[i]) ** 2).sum(axis=1))
@@ -184,19 +200,28 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _chunks(placed: DataFrame, dims: int, chunk_rows: int) -> DataFrame:
-    """(leaf, keys, vectors) of at most chunk_rows rows of a leaf; rows of a task stay in their task."""
+def _parts(rows: np.ndarray) -> np.ndarray:
+    """Into how many parts each leaf's chunks are dealt."""
+    return np.maximum(1, -(-rows // PART_ROWS))
+
+
+def _chunks(placed: DataFrame, dims: int, chunk_rows: int, sizes) -> DataFrame:
+    """(leaf, part, keys, vectors) of at most chunk_rows rows of a leaf; rows of a task stay in their task."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, parts = TaskContext.get().partitionId(), _parts(sizes.value)
         for batch in batches:
             leaf = batch.column(0).to_numpy()
             keys, x = batch.column(1).to_numpy(), _matrix(batch.column(2), dims)
             order = np.argsort(leaf, kind="stable")
             edges = np.flatnonzero(np.diff(leaf[order])) + 1
             out = [part[at : at + chunk_rows] for part in np.split(order, edges) for at in range(0, len(part), chunk_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(leaf[p[0]]) for p in out], pa.int64()), pa.array([keys[p].tobytes() for p in out], pa.binary()), pa.array([x[p].tobytes() for p in out], pa.binary())], names=["leaf", "keys", "vectors"])
+            leaves = [int(leaf[p[0]]) for p in out]
+            salts = [(turn + i) % int(parts[one]) for i, one in enumerate(leaves)]
+            turn += len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(salts, pa.int64()), pa.array([keys[p].tobytes() for p in out], pa.binary()), pa.array([x[p].tobytes() for p in out], pa.binary())], names=["leaf", "part", "keys", "vectors"])
 
-    return placed.select("leaf", "key", "vector").mapInArrow(gather, "leaf long, keys binary, vectors binary")
+    return placed.select("leaf", "key", "vector").mapInArrow(gather, "leaf long, part long, keys binary, vectors binary")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -241,6 +266,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = Tree(*sent.value), sizes.value
+        parts = _parts(held)
         for batch in batches:
             keys, x, own_rows = batch.column(0).to_numpy(), _matrix(batch.column(1), dims), batch.column(2).to_numpy()
             for at in range(0, len(keys), QUERY_BLOCK):
@@ -249,8 +275,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
                 for i, one in enumerate(x[part]):
                     for leaf in own.best_bins(one, held, budget, k + own_rows[at + i]):
                         visits.setdefault(leaf, []).append(at + i)
-                out = list(visits.items())
-                yield pa.RecordBatch.from_arrays([pa.array([leaf for leaf, _ in out], pa.int64()), pa.array([keys[q].tobytes() for _, q in out], pa.binary()), pa.array([x[q].tobytes() for _, q in out], pa.binary())], names=["leaf", "query_keys", "queries"])
+                out = [(leaf, salt, q) for leaf, q in visits.items() for salt in range(int(parts[leaf]))]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([keys[q].tobytes() for _, _, q in out], pa.binary()), pa.array([x[q].tobytes() for _, _, q in out], pa.binary())], names=["leaf", "part", "query_keys", "queries"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -270,8 +296,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
         if size:
             yield _found_batch(_best_of(held, k))
 
-    routed = queries.mapInArrow(route, "leaf long, query_keys binary, queries binary")
-    met = _chunks(placed, dims, CHUNK_ROWS).join(routed, "leaf").select("keys", "vectors", "query_keys", "queries")
+    routed = queries.mapInArrow(route, "leaf long, part long, query_keys binary, queries binary")
+    met = _chunks(placed, dims, CHUNK_ROWS, sizes).join(routed, ["leaf", "part"]).select("keys", "vectors", "query_keys", "queries")
     return _top(met.mapInArrow(meet, "query_id long, vec_id long, score double"), k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -167,3 +167,18 @@ def test_decoding_against_a_plain_loop(spark):
         shares = np.exp(-np.array(losses)) / np.exp(-np.array(losses)).sum()
         assert row["lang_pred"] == coder.languages[int(shares.argmax())] and abs(row["score"] - shares.max()) < 1e-3
     assert found[-1]["lang_pred"] == found[-2]["lang_pred"] and found[-1]["score"] == found[-2]["score"]
+
+
+def test_vectors_far_from_the_origin_and_a_hot_leaf(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 40)
+    draw = np.random.default_rng(8)
+    for vectors in (100_000 + 0.001 * draw.normal(size=(1500, 6)), np.concatenate([np.ones((700, 6)), draw.normal(size=(800, 6))])):
+        frame = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, leaf int, part string").repartition(4)
+        told = {q: brute_force(dict(enumerate(vectors)), [q], 10)[q] for q in range(0, 1500, 100)}
+        found = {}
+        for r in ann.nearest(frame, F.col("vec_id") % 100 == 0, recall=1.0).collect():
+            found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        hits = sum(len({m[1] for m in found[q]} & {key for _, key in told[q]}) for q in told)
+        assert hits >= 0.97 * 10 * len(told)
+        assert all(sorted(found[q])[0][2] <= told[q][0][0] + 1e-9 or hits for q in told)

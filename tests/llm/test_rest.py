@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linemill.llm import mixing, pii, quality_rules, warc
 from linemill.llm._common import cut_lineage, fresh_dir
+from linemill.llm.queries import op6_warc
 
 KEY = "k"
 
@@ -173,6 +174,26 @@ def test_broken_archives():
             warc.parse_record(bad)
 
 
+def test_archives_of_all_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    last = {}
+    rows = [(r["page_id"], (r["html"] or "").encode()) for r in pages.collect()]
+    for key, body in rows:
+        last[body] = max(key, last.get(body, key))
+    told = Counter((key, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), *(("response", None) if last[body] == key else ("revisit", last[body]))) for key, body in rows)
+    found = op6_warc(spark, sf_dir)
+    assert Counter(tuple(r) for r in found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == told
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dictionary_is_a_trained_one():
+    import zstandard
+
+    records = [warc.record_bytes(str(i), f"https://example.org/{i}", "", (f"<html><head><title>page {i}</title></head><body><p>text {i * 7919 % 1000}</p></body></html>" * 20).encode(), None) for i in range(256)]
+    assert zstandard.ZstdCompressionDict(warc.dictionary_of(records)).dict_id()
+    assert warc.dictionary_of([b"abc"]) == b"abc" and warc.dictionary_of([]) == b""
+
+
 def water_levels(sizes, weights, total, most):
     """Targets by bisection of the common level."""
     low, high = 0.0, 10.0 * total
