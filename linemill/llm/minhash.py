@@ -11,8 +11,8 @@ Sets that are equal are one class from the start, found by fingerprint, so
 large groups of copies cost one row. Within a bucket nobody is compared with
 everybody at once: each class first meets one leader, components are formed,
 and only classes of different components in one bucket are compared after that,
-in small buckets as pairs, in large ones as blocks against blocks that share a
-bucket. No bucket is cut.
+in small buckets as pairs, in large ones as blocks against blocks. No bucket is
+cut.
 
 Defined results: texts that are null, empty or without words have an empty set
 and are linked with nothing. Documents with equal sets are linked whatever
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linemill.llm._common import broadcast_up_to, cut_lineage
@@ -119,61 +119,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_a.where(near).select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
+def _near_sizes(a: str, b: str, percent: int) -> Column:
+    """Whether sets of two sizes can be similar at all."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def _buckets(classes: DataFrame, collections: int) -> DataFrame:
-    """(table_key, rep, leader, n) of all table keys that n > 1 classes have; the leader is the least of them.
+    """(table_key, rep, size, leader, leader_size, n) of all table keys that several classes have; the leader is the least of them.
 
     Classes are small rows that become collections ** 2 each, so they are dealt
-    to all tasks first: adaptive execution would leave them in few.
+    to all tasks first: adaptive execution would leave them in few. Only table
+    keys are counted, as nearly all have one class; leaders are found among the rest.
     """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = (
         classes.repartition(parts, "rep")
-        .select("rep", F.posexplode(F.slice("short", 1, collections)).alias("i", "x"), F.slice("short", collections + 1, collections).alias("other"))
-        .select("rep", "i", "x", F.posexplode("other").alias("j", "y"))
-        .select(F.xxhash64("i", "j", "x", "y").alias("table_key"), "rep")
+        .select("rep", "size", F.posexplode(F.slice("short", 1, collections)).alias("i", "x"), F.slice("short", collections + 1, collections).alias("other"))
+        .select("rep", "size", "i", "x", F.posexplode("other").alias("j", "y"))
+        .select(F.xxhash64("i", "j", "x", "y").alias("table_key"), "rep", "size")
     )
-    shared = keys.groupBy("table_key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("n")).where("leader < last")
-    return keys.join(shared.select("table_key", "leader", "n"), "table_key")
+    several = keys.groupBy("table_key").count().where("count > 1").select("table_key")
+    members = cut_lineage(keys.join(several, "table_key"))
+    first = members.groupBy("table_key").agg(F.min(F.struct("rep", "size")).alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).where("first.rep < last")
+    return members.join(first.select("table_key", F.col("first.rep").alias("leader"), F.col("first.size").alias("leader_size"), "n"), "table_key")
 
 
 def _open_members(members: DataFrame, of: DataFrame) -> DataFrame:
     """Members, with their component, of the buckets that still hold several components."""
-    placed = cut_lineage(members.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("table_key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    placed = cut_lineage(members.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("table_key", "rep", "size", "n", F.coalesce("component", "rep").alias("component")))
     mixed = placed.groupBy("table_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("table_key")
     return cut_lineage(placed.join(mixed, "table_key"))
 
 
-def _unmet_pairs(small: DataFrame) -> DataFrame:
-    """Pairs of different components in small buckets."""
-    mates = small.select("table_key", F.col("rep").alias("mate"), F.col("component").alias("mate_component"))
-    met = small.join(mates, "table_key").where("rep < mate and component <> mate_component")
+def _unmet_pairs(small: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in small buckets, of sets that can be similar by their sizes."""
+    mates = small.select("table_key", F.col("rep").alias("mate"), F.col("size").alias("mate_size"), F.col("component").alias("mate_component"))
+    met = small.join(mates, "table_key").where("rep < mate and component <> mate_component").where(_near_sizes("size", "mate_size", percent))
     return met.select(F.col("rep").alias("a"), F.col("mate").alias("b")).distinct()
 
 
-def _unmet_in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _unmet_in_families(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components in large buckets, compared block by block.
 
-    A class's home is the least large bucket that it is in. Of a home the
-    classes of its largest component and all others are dealt to blocks of
-    bounded size, so blocks hold classes of the same buckets. Two blocks meet,
-    as packed sets in a task, once if they share any bucket and are not of one
-    component.
+    Classes that large buckets connect are a family. Its main component's
+    classes and all others are dealt to blocks of bounded size; every block of
+    the others meets every block of the family, as packed sets, in a task.
     """
-    homes = large.groupBy("rep", "component").agg(F.min("table_key").alias("home"))
-    counts = homes.groupBy("home", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("home").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    main = main.select("home", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_other"))
-    told = homes.join(main, "home").withColumn("is_main", F.col("component") == F.col("main"))
+    hubs = large.groupBy("table_key").agg(F.min("rep").alias("a"))
+    families = components(large.join(hubs, "table_key").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    classes = large.select("rep", "component").distinct().join(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep", "left")
+    classes = cut_lineage(classes.select("rep", "component", F.coalesce("family", "rep").alias("family")))
+    counts = classes.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("family", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_other"))
+    told = classes.join(main, "family").withColumn("is_main", F.col("component") == F.col("main"))
     blocks = F.ceil(F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other")) / BLOCK_CLASSES)
-    salt = F.pmod(F.xxhash64("rep"), blocks)
-    dealt = cut_lineage(told.select("rep", "component", F.xxhash64("home", "is_main", salt).alias("block")))
+    dealt = told.select("rep", "component", F.struct("family", "is_main", F.pmod(F.xxhash64("rep"), blocks).alias("salt")).alias("block"))
     packed = cut_lineage(dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "set")).alias("held")))
-    range_ = dealt.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    places = cut_lineage(large.select("table_key", "rep").join(dealt.select("rep", "block"), "rep").select("table_key", "block").distinct().join(range_, "block"))
-    others = places.select("table_key", *[F.col(c).alias(f"other_{c}") for c in ("block", "low", "high")])
-    one_component = (F.col("low") == F.col("high")) & (F.col("other_low") == F.col("other_high")) & (F.col("low") == F.col("other_low"))
-    meet = places.join(others, "table_key").where((F.col("block") <= F.col("other_block")) & ~one_component).select("block", "other_block").distinct()
-    both = meet.join(packed.select(F.col("block").alias("other_block"), F.col("held").alias("x")), "other_block").join(packed.select("block", F.col("held").alias("y")), "block").select("x", "y")
+    names = packed.select("block", F.col("block.family").alias("family"))
+    others = names.where("not block.is_main").withColumnRenamed("block", "other")
+    meet = others.join(names, "family").where("block.is_main or other.salt <= block.salt").select("other", "block")
+    both = meet.join(packed.select(F.col("block").alias("other"), F.col("held").alias("x")), "other").join(packed.select("block", F.col("held").alias("y")), "block").select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,18 +244,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links (itself included); kept says whether that is the row's own key.
     """
     signed = cut_lineage(signatures(docs, key, text, words, collections, rows))
-    classes = signed.where("id is not null and print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("short").alias("short"), F.count("*").alias("copies"))
+    classes = signed.where("id is not null and print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("short").alias("short"), F.count("*").alias("copies"))
     members = cut_lineage(_buckets(classes, collections))
     needed = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     nodes = broadcast_up_to(cut_lineage(members.select(F.col("rep").alias("id")).distinct()), 200_000)
     sets = cut_lineage(full_sets(needed.join(nodes, "id", "left_semi"), words).distinct())
 
     # Every member first meets one leader: what near copies share is one component after that.
-    first = cut_lineage(members.where("rep > leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"))
+    first = cut_lineage(members.where("rep > leader").where(_near_sizes("size", "leader_size", percent)).groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"))
     links = cut_lineage(_of_several_texts(signed, classes).union(confirmed(first, sets, percent)))
     still = _open_members(members, cut_lineage(components(links)))
-    pairs = _unmet_pairs(still.where(F.col("n") <= SMALL_BUCKET)).join(first, ["a", "b"], "left_anti")
-    links = links.union(confirmed(cut_lineage(pairs), sets, percent)).union(_unmet_in_blocks(still.where(F.col("n") > SMALL_BUCKET), sets, percent))
+    pairs = _unmet_pairs(still.where(F.col("n") <= SMALL_BUCKET), percent).join(first, ["a", "b"], "left_anti")
+    links = links.union(confirmed(cut_lineage(pairs), sets, percent)).union(_unmet_in_families(still.where(F.col("n") > SMALL_BUCKET), sets, percent))
 
     of = components(links).withColumnRenamed("node", "rep")
     places = cut_lineage(classes.select("print", "rep", "copies").join(of, "rep", "left").select("print", "copies", F.coalesce("component", "rep").alias("component")))
