@@ -36,7 +36,7 @@ TIERS = (512, 1024, 2048)
 #: Slots of the longest size in one step group.
 STEP_SLOTS = 64
 #: Bytes of texts that are encoded together.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 4 << 20
 #: Fragments that wait for a window before a round of packing.
 ROUND_FRAGMENTS = 4096
 

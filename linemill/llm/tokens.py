@@ -33,9 +33,9 @@ from linemill.llm._memo import claim
 #: Bytes that one call of the encoder gets at most, unless a single text or piece is longer.
 CALL_BYTES = 262_144
 #: Bytes of texts that are cut and counted together.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
 #: Pieces that a worker remembers, and the longest of them in bytes.
-MEMO_PIECES, MEMO_BYTES = 600_000, 64
+MEMO_PIECES, MEMO_BYTES = 200_000, 64
 
 
 def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[pa.Array]:
