@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _live: dict[str, Callable[[], None]] = {}
 
 
@@ -16,3 +18,8 @@ def claim(name: str, forget: Callable[[], None]) -> None:
     for other in [o for o in _live if o != name]:
         _live.pop(other)()
     _live[name] = forget
+
+
+def release() -> None:
+    """Give what Arrow holds but does not use back to the machine, for the tasks of the JVM beside this worker."""
+    pa.default_memory_pool().release_unused()

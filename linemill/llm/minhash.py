@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linemill.llm._common import broadcast_up_to, cut_lineage
+from linemill.llm._memo import release
 from linemill.llm.components import components
 from linemill.llm.shingles import mix, shingle_set
 
@@ -81,6 +82,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, collections: in
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 keys.append(short_keys(found, rows, factors) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "print", "short"])
+        release()
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(sign, "id long, n_shingles long, print binary, short array<long>")
 

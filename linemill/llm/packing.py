@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linemill.llm._memo import release
 from linemill.llm.tokens import codec, runs
 
 #: Window sizes from short to long; each is a power of two, so full windows need no padding.
@@ -36,7 +37,7 @@ TIERS = (512, 1024, 2048)
 #: Slots of the longest size in one step group.
 STEP_SLOTS = 64
 #: Bytes of texts that are encoded together.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 #: Fragments that wait for a window before a round of packing.
 ROUND_FRAGMENTS = 4096
 
@@ -198,5 +199,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "doc_id",
                     yield rows(found, arrow_key[0])
         if arrow_key and (found := list(packer.flush())):
             yield rows(found, arrow_key[0])
+        release()
 
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(pack_batches, schema)

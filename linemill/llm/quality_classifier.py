@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linemill.llm._common import crc_fold
-from linemill.llm._memo import claim
+from linemill.llm._memo import claim, release
 
 #: Most labelled rows that the fit takes (those of the least key hashes).
 SAMPLE_ROWS = 6_000
@@ -43,11 +42,11 @@ WORD_BINS, SHAPE_BINS, LATENT = 1024, 512, 48
 #: Neighbours that vote, and the power of their similarity that weighs a vote.
 NEIGHBOURS, SHARPNESS = 31, 4.0
 #: Documents compared with all neighbours at once.
-BLOCK = 1024
+BLOCK = 512
 
 _TERMS = 1 + 40 + SHAPE_BINS + WORD_BINS
 _LOWER, _UPPER, _DIGIT, _OTHER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"), re.compile(r"(\W)\1+")
-_MEMO = 150_000
+_MEMO = 60_000
 
 
 class _Words(dict):
@@ -181,11 +180,14 @@ def quality_scores(docs: DataFrame, voters: Voters, text: str = "text", score: s
     """docs with a column score from 0 to 1 (one of that name is replaced); its other columns pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(voters))
 
-    @F.pandas_udf(T.DoubleType())
-    def vote(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def vote(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Voters(*sent.value)
         for part in parts:
-            yield pd.Series(own.scores(part.tolist()))
+            # Few texts at a time are held as Python strings.
+            found = [own.scores(part.slice(at, BLOCK).to_pylist()) for at in range(0, len(part), BLOCK)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
+        release()
 
     return docs.withColumn(score, vote(F.col(f"`{text}`")))
 

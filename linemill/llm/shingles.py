@@ -8,7 +8,7 @@ import xxhash
 from linemill.llm._memo import claim
 
 #: Words that a worker remembers the hashes of.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 

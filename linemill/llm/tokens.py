@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linemill.llm._memo import claim
+from linemill.llm._memo import claim, release
 
 #: Bytes that one call of the encoder gets at most, unless a single text or piece is longer.
 CALL_BYTES = 262_144
 #: Bytes of texts that are cut and counted together.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 #: Pieces that a worker remembers, and the longest of them in bytes.
-MEMO_PIECES, MEMO_BYTES = 200_000, 64
+MEMO_PIECES, MEMO_BYTES = 120_000, 64
 
 
 def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[pa.Array]:
@@ -296,5 +296,6 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", count: st
             counted = [encoder.counts(part) for part in runs(batch.column(batch.num_columns - 1))]
             found = pa.array(np.concatenate(counted) if counted else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*kept, count])
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(count_batches, schema)
