@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a local temporary
-    folder is made once and given to the session.
+    Where the setting is absent a local temporary folder is made once and given
+    to the session, if that runs on one machine, as in tests; on a cluster a
+    RuntimeError is raised.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-linemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     context = spark.sparkContext
