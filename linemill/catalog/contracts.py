@@ -36,9 +36,30 @@ CHECKED = [
 RULES = [stages.Rule(0, "assert", "output", "[A-Z][^|]*"), stages.Rule(1, "assert", "output", "[^A-Z]*"), stages.Rule(1, "assume", "input", "[A-Z].*")]
 
 
-@query("c04_assume", "SELECT 1 AS stage_idx, 'assumption' AS kind, 'input' AS side, CAST(NULL AS BIGINT) AS n_bad")
+@query(
+    "c04_assume",
+    LINES
+    + f"""SELECT 1 AS stage_idx, 'assumption' AS kind, 'input' AS side, CAST(NULL AS BIGINT) AS n_rows, CAST(NULL AS BIGINT) AS n_bad
+UNION ALL SELECT 1, 'assertion_violation', 'output', count(*), count(*) FILTER (WHERE {_bad('[^A-Z]*').replace('(line', '(lower(line)')})
+FROM lines WHERE regexp_matches(line, '^[A-Z]')""",
+)
 def c04(spark, d):
-    return stages.check_pipeline(doc_lines(spark, d), CHECKED, RULES).where("kind = 'assumption'").select("stage_idx", "kind", "side", "n_bad")
+    """The second stage's input is trusted, so it has no count of violations; its output is counted."""
+    report = stages.check_pipeline(doc_lines(spark, d), CHECKED, RULES)
+    return report.where("stage_idx = 1").select("stage_idx", "kind", "side", "n_rows", "n_bad")
+
+
+@query(
+    "c05_contains",
+    LINES
+    + """SELECT side, CAST(CASE WHEN count(*) FILTER (WHERE line = wanted) = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_bad,
+CASE WHEN count(*) FILTER (WHERE line = wanted) = 0 THEN wanted END AS witness
+FROM lines, (VALUES ('input', 'no such line'), ('output', 'No such line')) w(side, wanted) WHERE side = 'input' OR regexp_matches(line, '^[A-Z]') GROUP BY side, wanted""",
+)
+def c05_contains(spark, d):
+    rules = [stages.Rule(0, "contains", "input", "no such line"), stages.Rule(0, "contains", "output", "No such line")]
+    report = stages.check_pipeline(doc_lines(spark, d), CHECKED[:1], rules)
+    return report.where("kind = 'contains_violation'").select("side", "n_bad", "witness")
 
 
 @query(
@@ -163,14 +184,35 @@ def s01(spark, d):
     return sources.read_lines(spark, folder).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query("s03_list_files", "SELECT 'nation.parquet' AS name, true AS sized")
+def _text_files(spark, d):
+    """Files of all documents' texts, in a folder for each language."""
+    folder = f"{shared_folder(spark)}/linemill-files-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents")
+    docs.select("text", F.coalesce("lang", F.lit("none")).alias("language")).write.partitionBy("language").text(folder)
+    return sources.list_files(spark, folder, "*.txt")
+
+
+def _language(path="path"):
+    return F.regexp_extract(path, "language=([^/]*)", 1).alias("name")
+
+
+_BYTES = "CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT)"
+
+
+@query("s03_list_files", "SELECT DISTINCT coalesce(lang, 'none') AS name, true AS sized FROM documents")
 def s03(spark, d):
-    return sources.list_files(spark, d, "nation.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("sized"))
+    return _text_files(spark, d).groupBy(_language()).agg(F.bool_and(F.col("length") > 0).alias("sized"))
 
 
-@query("s04_file_stats")
+@query("s04_file_stats", f"SELECT coalesce(lang, 'none') AS name, {_BYTES} AS size, true AS dated FROM documents GROUP BY ALL")
 def s04(spark, d):
-    return sources.file_stats(sources.list_files(spark, d, "nation.parquet"))
+    return sources.file_stats(_text_files(spark, d)).groupBy(_language()).agg(F.sum("size").alias("size"), F.bool_and(F.col("mtime") > 0).alias("dated"))
+
+
+@query("s04_folder_sizes", f"SELECT coalesce(lang, 'none') AS name, {_BYTES} AS size FROM documents GROUP BY ALL")
+def s04_folders(spark, d):
+    sizes = sources.folder_sizes(_text_files(spark, d))
+    return sizes.select(_language("folder"), "size")
 
 
 @query("s05_cat_paths", LINES + "SELECT src, count(*) AS n FROM lines WHERE src IN (SELECT doc_id FROM documents WHERE lang <> 'es') GROUP BY src")

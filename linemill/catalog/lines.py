@@ -84,7 +84,16 @@ def f09(spark, d):
 
 _filter("f10_drop_matching", doc_lines, lambda x: filters.drop_matching(x, "[0-9#*]"), LINES + ALL + "WHERE NOT regexp_matches(line, '[0-9#*]')")
 _filter("f11_drop_line", doc_lines, lambda x: filters.drop_line(x, 2), POSITIONS + "SELECT src, line_no, line FROM placed WHERE pos <> 2")
-_filter("f12_drop_all", doc_lines, filters.drop_all, LINES + ALL + "WHERE false")
+
+
+@query("f12_drop_all", LINES + "SELECT 'read' AS lines, count(*) AS n FROM lines UNION ALL SELECT 'kept', 0")
+def f12(spark, d):
+    """Lines before and after everything is dropped."""
+    lines = doc_lines(spark, d)
+    counted = lambda name, frame: frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("lines"), "n")
+    return counted("read", lines).unionByName(counted("kept", filters.drop_all(lines)))
+
+
 AWK2 = "coalesce(string_split_regex(regexp_replace(line, '^[ \\t]+|[ \\t]+$', '', 'g'), '[ \\t]+')[{k}], '')"
 _filter("f13_awk_match", part_records, lambda x: filters.awk_match(x, "^r", 1), PARTS + ALL + f"WHERE starts_with({AWK2.format(k=1)}, 'r')")
 _filter("f13_awk_no_match", part_records, lambda x: filters.awk_match(x, "1", 3, negate=True), PARTS + ALL + f"WHERE NOT contains({AWK2.format(k=3)}, '1')")

@@ -20,12 +20,25 @@ def _ranked(value: Column) -> Column:
     return F.struct((~value.rlike(r"\A[\x20-\x7E\u00A0-\uFFFF]*\z")).alias("odd"), F.length(value).alias("size"), value.alias("value"))
 
 
+def outside(value: Column, p: str) -> Column:
+    """Whether a value is outside the type; a null value is."""
+    return ~F.coalesce(matches(value, p), F.lit(False))
+
+
+def least_bad(value: Column, bad: Column) -> Column:
+    """Aggregate of the first counterexample; nulls, which can't be shown, are none."""
+    return F.min(F.when(bad & value.isNotNull(), _ranked(value)))
+
+
 def violations(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """One row for each rule (column, pattern): n_rows, n_bad and the shortest witness, in one aggregate."""
+    """One row for each rule (column, pattern): n_rows, n_bad and the shortest witness, in one aggregate.
+
+    A null value is bad, as in quarantine and on streams.
+    """
     aggs = [F.count("*").alias("n_rows")]
     for i, (column, p) in enumerate(rules):
-        bad = ~matches(F.col(column), p)
-        aggs += [F.count_if(bad).alias(f"bad{i}"), F.min(F.when(bad, _ranked(F.col(column)))).alias(f"least{i}")]
+        bad = outside(F.col(column), p)
+        aggs += [F.count_if(bad).alias(f"bad{i}"), least_bad(F.col(column), bad).alias(f"least{i}")]
     rows = [F.struct(F.lit(c).alias("column"), F.lit(p).alias("pattern"), F.col("n_rows"), F.col(f"bad{i}").alias("n_bad"), shown(F.col(f"least{i}.value")).alias("witness")) for i, (c, p) in enumerate(rules)]
     return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("rule")).select("rule.*")
 

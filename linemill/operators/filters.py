@@ -38,13 +38,25 @@ def grep(lines: DataFrame, *patterns: str, invert: bool = False, word: bool = Fa
 def grep_table(lines: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
     """Lines in which any pattern of a table is found.
 
-    Patterns can't be hashed, so the table is broadcast. It is counted first and
-    refused beyond 10,000 rows.
+    Patterns can't be hashed, so the table is broadcast, in chunks of about
+    10,000 rows; lines that one chunk has found are not matched with the next.
     """
     rows = patterns.select(F.col(column).alias("__pattern")).distinct()
-    if rows.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 patterns")
-    return lines.join(F.broadcast(rows), F.expr("line rlike __pattern"), "left_semi")
+    chunks = pattern_chunks(rows, "__pattern")
+    hits, open_ = [], lines
+    for number, chunk in enumerate(chunks):
+        hits.append(open_.join(F.broadcast(chunk), F.expr("line rlike __pattern"), "left_semi"))
+        if number + 1 < len(chunks):
+            open_ = open_.join(F.broadcast(chunk), F.expr("line rlike __pattern"), "left_anti")
+    return reduce(DataFrame.unionByName, hits)
+
+
+def pattern_chunks(patterns: DataFrame, column: str, most: int = 10_000) -> list[DataFrame]:
+    """The table in parts of about so many rows, so that each can be broadcast."""
+    parts = max(1, -(-patterns.count() // most))
+    if parts == 1:
+        return [patterns]
+    return [patterns.where(F.pmod(F.xxhash64(column), F.lit(parts)) == i) for i in range(parts)]
 
 
 def grep_numbered(lines: DataFrame, p: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linemill.functions.patterns import POSIX_CLASSES, matches
+from linemill.operators.filters import pattern_chunks
 
 # Named types.
 NAMED_TYPES = {
@@ -118,12 +121,10 @@ def check_name(name: str) -> str:
 def classify_lines(lines: DataFrame, signatures: DataFrame) -> DataFrame:
     """How many lines each known output shape fits first, by its place in the table.
 
-    Distinct lines are matched once. The table is broadcast, and refused beyond 10,000 rows.
+    Distinct lines are matched once. The table is broadcast, in chunks of about 10,000 rows.
     """
-    if signatures.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 signatures")
     distinct = lines.groupBy("line").agg(F.count("*").alias("c"))
-    hits = distinct.join(F.broadcast(signatures), F.expr("line rlike pattern"))
+    hits = reduce(DataFrame.unionByName, [distinct.join(F.broadcast(part), F.expr("line rlike pattern")) for part in pattern_chunks(signatures, "pattern")])
     first = hits.groupBy("line").agg(F.min(F.struct("pos", "name")).getField("name").alias("name"), F.first("c").alias("c"))
     return first.groupBy("name").agg(F.sum("c").alias("n"))
 

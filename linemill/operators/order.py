@@ -20,7 +20,10 @@ def number_lines(rows: DataFrame, *order: Column | str, name: str = "n") -> Data
 
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    # Rows that are equal by the order, however many, are dealt by their hash.
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    whole = [*order, F.xxhash64(*hashed)] if hashed else [*order]
+    ranged = rows.repartitionByRange(parts, *whole).sortWithinPartitions(*whole).withColumn("__part", F.spark_partition_id())
     held = materialised(ranged.withColumn("__at", F.monotonically_increasing_id()))
     counts = held.groupBy("__part").count().collect()  # one row for each partition
     before, offsets = 0, []

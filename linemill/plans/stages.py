@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linemill.functions.patterns import matches
-from linemill.operators.contracts import _ranked, shown
+from linemill.operators.contracts import least_bad, outside, shown
 
 Rows = Callable[[DataFrame], DataFrame]
 
@@ -29,10 +29,10 @@ class Stage:
 
 @dataclass(frozen=True)
 class Rule:
-    """An assertion or assumption at a stage's input or output."""
+    """An assertion or assumption at a stage's input or output; of contains, the pattern is a line that must be there."""
 
     stage_idx: int
-    kind: str  # assert, assume
+    kind: str  # assert, contains, assume
     side: str  # input, output
     pattern: str
 
@@ -64,8 +64,9 @@ def compose(*steps: Rows) -> Rows:
 def check_pipeline(lines: DataFrame, stages: list[Stage], rules: list[Rule] = ()) -> DataFrame:
     """The violation report of a pipeline: a row for each contract of each stage.
 
-    All contracts at one point of the pipeline are counted in one aggregate.
-    Assumed contracts are reported with a null count and not evaluated; a
+    All contracts of a stage's input, and all of its output, are counted in one
+    aggregate each; a null line is outside every type, and a line that must be
+    there and isn't counts as one violation. Assumed contracts are reported with a null count and not evaluated; a
     stage whose input is assumed is not checked on it. Of several rules of a
     kind and side at one stage, the last holds.
     """
@@ -84,7 +85,8 @@ def check_pipeline(lines: DataFrame, stages: list[Stage], rules: list[Rule] = ()
 
 
 def _asserted(last: dict, i: int, side: str) -> list[tuple[str, str, str]]:
-    return [("assertion_violation", side, r.pattern)] if (r := last.get((i, "assert", side))) else []
+    kinds = (("assert", "assertion_violation"), ("contains", "contains_violation"))
+    return [(kind, side, r.pattern) for name, kind in kinds if (r := last.get((i, name, side)))]
 
 
 def _checked(df: DataFrame, i: int, name: str, contracts: list[tuple[str, str, str]]) -> DataFrame | None:
@@ -92,8 +94,12 @@ def _checked(df: DataFrame, i: int, name: str, contracts: list[tuple[str, str, s
         return None
     aggs, rows = [F.count("*").alias("n_rows")], []
     for k, (kind, side, p) in enumerate(contracts):
-        bad = ~matches(F.col("line"), p)
-        aggs += [F.count_if(bad).alias(f"bad{k}"), F.min(F.when(bad, _ranked(F.col("line")))).alias(f"least{k}")]
+        if kind == "contains_violation":
+            found = F.count_if(F.col("line") == F.lit(p))
+            aggs += [F.when(found == 0, 1).otherwise(0).cast("long").alias(f"bad{k}"), F.when(found == 0, F.struct(F.lit(p).alias("value"))).alias(f"least{k}")]
+        else:
+            bad = outside(F.col("line"), p)
+            aggs += [F.count_if(bad).alias(f"bad{k}"), least_bad(F.col("line"), bad).alias(f"least{k}")]
         message = F.when(F.col(f"bad{k}") > 0, F.format_string("%s of %s: %d of %d lines outside %s", F.lit(side), F.lit(name), F.col(f"bad{k}"), F.col("n_rows"), F.lit(p))).otherwise(F.lit("ok"))
         rows.append(
             F.struct(

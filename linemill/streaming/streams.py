@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linemill.functions.patterns import matches
+from linemill.operators.contracts import least_bad
 
 
 def refuse_ordered(df: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def stream_contracts(stream: DataFrame, rules: list[tuple[str, str, str]]) -> Da
     """Running n_rows, n_bad and least bad value for each rule (name, column, pattern)."""
     checks = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(matches(F.col(c), p), F.lit(False)).alias("ok"), F.col(c).cast("string").alias("value")) for n, c, p in rules])
     told = stream.select(F.explode(checks).alias("x")).select("x.*")
-    least = F.min(F.when(~F.col("ok"), F.struct(F.length("value").alias("size"), F.col("value").alias("value"))))
+    least = least_bad(F.col("value"), ~F.col("ok"))
     return told.groupBy("rule").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("ok")).alias("n_bad"), least.getField("value").alias("witness"))
 
 

@@ -159,3 +159,19 @@ def test_concretize_counts_all_values(lines):
     many = lines(*[f"v{i % 30}" for i in range(60)])
     assert tuple(infer.concretize(many, "line", budget=10).first()) == (30, None)
     assert tuple(infer.concretize(lines(), "line").first()) == (0, "")
+
+
+def test_nulls_are_outside_every_type(spark):
+    frame = spark.createDataFrame([(0, 1, "a"), (0, 2, None), (0, 3, "1")], "src long, line_no long, line string")
+    assert contracts.violations(frame, [("line", "[a-z]")]).select("n_rows", "n_bad", "witness").first() == (3, 2, "1")
+    assert contracts.quarantine(frame, "line", "[a-z]")[1].count() == 2
+    report = stages.check_pipeline(frame, [stages.Stage("same", lambda x: x, input="[a-z]")])
+    assert report.select("n_bad", "witness").first() == (2, "1")
+
+
+def test_pattern_tables_in_chunks(spark, lines, monkeypatch):
+    patterns = spark.createDataFrame([(f"^{c}$",) for c in "abcdefgh"], "pattern string")
+    parts = filters.pattern_chunks(patterns, "pattern", 3)
+    assert len(parts) == 3 and sorted(r[0] for p in parts for r in p.collect()) == sorted(r[0] for r in patterns.collect())
+    monkeypatch.setattr(filters, "pattern_chunks", lambda rows, column: [rows.where(F.pmod(F.xxhash64(column), F.lit(3)) == i) for i in range(3)])
+    assert sorted(r["line"] for r in filters.grep_table(lines("a", "b", "x", "a", "h"), patterns).collect()) == ["a", "a", "b", "h"]
