@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on every document that the
 stage before it kept; all but the last return the columns of docs. Null texts
 are scored as empty, null keys are never linked, and empty tables pass through.
+
+Texts are long rows, so the stages that hand them to Python set Spark's batches
+to BATCH_ROWS rows for the session: what a worker and its executor hold at a
+time shrinks with it, no result changes.
 """
 
 from __future__ import annotations
@@ -16,10 +20,20 @@ from linemill.llm.queries import PSEUDONYM_KEY, VOCABULARY
 
 #: Documents below this score are rejected.
 LEAST_QUALITY = 0.3
+#: Rows of an Arrow batch, where a session does not ask for fewer.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(setting))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled documents vote good."""
+    _small_batches(spark)
     voters = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_classifier.quality_scores(docs, voters, score="__quality")
     return scored.where(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
@@ -33,6 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the smallest hash stays, of rows of one key and text the one that is least
     by its columns in their order. Rows without a key stay.
     """
+    _small_batches(spark)
     count = F.count("*").alias("__rows")
     several = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").agg(count).where("__rows > 1").select("doc_id", F.lit(True).alias("__several")))
     # A key of one row is its own node; the hash stands for the rows of others.
@@ -66,6 +81,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training windows."""
+    _small_batches(spark)
     return packing.pack(docs, VOCABULARY)
 
 
