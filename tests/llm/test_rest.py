@@ -319,3 +319,12 @@ def test_near_dedup_keeps_texts_that_share_a_key(spark, sf_dir):
         kept = corpus_pipeline.near_dedup(spark, frame, sf_dir)
         assert kept.columns == docs.columns
         assert Counter((r["doc_id"], r["text"], r["source"]) for r in kept.collect()) == told
+
+
+def test_run_packs_whole_documents(spark, sf_dir):
+    """Each document that the pipeline keeps is packed whole, once for each of its copies."""
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    held = pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"), F.count_if(F.col("start") == 0).alias("copies")).collect()
+    keys = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert len(held) > 100 and {r["doc_id"] for r in held} <= keys
+    assert all(r["n"] == r["copies"] * r["doc_tokens"] and 1 <= r["copies"] <= 2 for r in held)
