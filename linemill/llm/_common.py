@@ -50,6 +50,23 @@ def broadcast_up_to(small: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, many: int = 1_000, most: int = 100_000) -> DataFrame:
+    """Rows with the columns of the group of their key; rows of no group are left out.
+
+    groups has one row for each key, with its number of rows in size; total is
+    at least the sum of sizes. Large groups are broadcast, so their rows are not
+    shuffled to one task; so few sizes exceed max(many, total / most) that these
+    are at most `most` groups. Use a materialised groups, as it is read twice.
+    """
+    large = F.col(size) > max(many, total // most)
+    names = [name for name in groups.columns if name != key]
+    hot = F.broadcast(groups.where(large).select(key, F.struct(*names).alias("__group")))
+    marked = rows.join(hot, key, "left")
+    met = marked.where("__group is not null").select(*rows.columns, *[F.col(f"__group.{name}").alias(name) for name in names])
+    others = marked.where("__group is null").select(*rows.columns).join(groups.where(~large), key)
+    return met.unionByName(others)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared checkpoint folder."""
     shared_dir(df.sparkSession)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linemill.llm._common import broadcast_up_to, cut_lineage
+from linemill.llm._common import broadcast_up_to, cut_lineage, with_groups
 from linemill.llm._memo import release
 from linemill.llm.components import components
 from linemill.llm.shingles import mix, shingle_set
@@ -126,24 +126,32 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _buckets(classes: DataFrame, collections: int) -> DataFrame:
-    """(table_key, rep, size, leader, leader_size, n) of all table keys that several classes have; the leader is the least of them.
+def _shared_short_keys(classes: DataFrame) -> DataFrame:
+    """(rep, size, x, place) of the short keys that several classes have.
 
-    Classes are small rows that become collections ** 2 each, so they are dealt
-    to all tasks first: adaptive execution would leave them in few. Only table
-    keys are counted, as nearly all have one class; leaders are found among the rest.
+    A table key is shared only if both its short keys are, so classes are
+    searched for by 2 * collections rows each and only what is left is combined.
+    Classes are small rows that become many, so they are dealt to all tasks
+    first: adaptive execution would leave them in few.
     """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = (
-        classes.repartition(parts, "rep")
-        .select("rep", "size", F.posexplode(F.slice("short", 1, collections)).alias("i", "x"), F.slice("short", collections + 1, collections).alias("other"))
-        .select("rep", "size", "i", "x", F.posexplode("other").alias("j", "y"))
-        .select(F.xxhash64("i", "j", "x", "y").alias("table_key"), "rep", "size")
-    )
-    several = keys.groupBy("table_key").count().where("count > 1").select("table_key")
-    members = cut_lineage(keys.join(several, "table_key"))
-    first = members.groupBy("table_key").agg(F.min(F.struct("rep", "size")).alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).where("first.rep < last")
-    return members.join(first.select("table_key", F.col("first.rep").alias("leader"), F.col("first.size").alias("leader_size"), "n"), "table_key")
+    keys = classes.repartition(parts, "rep").select("rep", "size", F.posexplode("short").alias("place", "x"))
+    shared = cut_lineage(keys.groupBy("x").agg(F.count("*").alias("sharers")).where("sharers > 1"))
+    total = shared.agg(F.coalesce(F.sum("sharers"), F.lit(0))).first()[0]
+    return with_groups(keys, shared, "x", "sharers", total).drop("sharers")
+
+
+def _buckets(classes: DataFrame, collections: int) -> DataFrame:
+    """(table_key, rep, size, leader, leader_size, n) of all table keys that several classes have; the leader is the least of them."""
+    held = _shared_short_keys(classes)
+    one, other = (F.collect_list(F.when(side, F.col("x"))) for side in (F.col("place") < collections, F.col("place") >= collections))
+    held = cut_lineage(held.groupBy("rep", "size").agg(one.alias("one"), other.alias("other")))
+    pairs = held.select("rep", "size", "other", F.explode("one").alias("x")).select("rep", "size", "x", F.explode("other").alias("y"))
+    keys = pairs.select("rep", "size", F.xxhash64("x", "y").alias("table_key"))
+    several = keys.groupBy("table_key").agg(F.min(F.struct("rep", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = cut_lineage(several.select("table_key", F.col("first.rep").alias("leader"), F.col("first.size").alias("leader_size"), "n"))
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return with_groups(keys, several, "table_key", "n", total)
 
 
 def _open_members(members: DataFrame, of: DataFrame) -> DataFrame:
