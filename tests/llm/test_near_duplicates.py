@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from linemill.llm import minhash, shingles
+from linemill.llm._common import with_groups
 from linemill.llm.components import components
 
 
@@ -105,3 +106,13 @@ def test_components_of_a_long_path(spark):
     links = [(min(a, b), max(a, b)) for a, b in zip(order, order[1:])] + [(1000, 1001)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(1, n)}, 1001: 1000}
+
+
+def test_large_groups_meet_their_rows_like_small_ones(spark):
+    rows = [(i % 3 if i < 30 else i, i) for i in range(40)] + [(None, 99)]
+    groups = [(0, 10, 7), (1, 10, 8), (30, 1, 9)]
+    frame, small = spark.createDataFrame(rows, "x long, y long"), spark.createDataFrame(groups, "x long, n long, z long")
+    found = with_groups(frame, small, "x", "n", 21, many=5)
+    expected = [(x, y, n, z) for x, y in rows for g, n, z in groups if x == g]
+    assert sorted(tuple(r) for r in found.select("x", "y", "n", "z").collect()) == sorted(expected)
+    assert with_groups(frame, small.where("false"), "x", "n", 0).count() == 0
