@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linemill.catalog.registry import COMMAED, EVENTS, LINES, PARTS, TABBED, doc_lines, event_lines, order_records, part_records, query, table
 from linemill.functions import charsets, fields, replace
 from linemill.functions.patterns import matches
-from linemill.operators import aggregate, explode, filters, large, order, setops
+from linemill.operators import aggregate, explode, filters, order, setops
 from linemill.plans.stages import compose
 from linemill.sources import lines as sources
 
@@ -171,7 +171,7 @@ def d04(spark, d):
 
 
 _filter("d05_head", doc_lines, lambda x: order.head(x, 3), POSITIONS + "SELECT src, line_no, line FROM placed WHERE pos <= 3")
-_filter("d05_head_of_large_sources", event_lines, lambda x: large.head(x, 3), EVENTS + ALL + "QUALIFY row_number() OVER (PARTITION BY src ORDER BY line_no) <= 3")
+_filter("d05_head_of_large_sources", event_lines, lambda x: order.head(x, 3), EVENTS + ALL + "QUALIFY row_number() OVER (PARTITION BY src ORDER BY line_no) <= 3")
 _filter("d06_tail", doc_lines, lambda x: order.tail(x, 3), LINES + ALL + "QUALIFY row_number() OVER (PARTITION BY src ORDER BY line_no DESC) <= 3")
 _filter("d06_tail_from", doc_lines, lambda x: order.tail_from(x, 4), POSITIONS + "SELECT src, line_no, line FROM placed WHERE pos >= 4")
 _filter("d07_reverse_lines", doc_lines, order.reverse_lines, LINES + "SELECT src, max(line_no) OVER (PARTITION BY src) - line_no + 1 AS line_no, line FROM lines")
@@ -190,7 +190,7 @@ _filter("a05_uniq_repeated", event_lines, lambda x: aggregate.uniq(x, only="repe
 _filter("a05_uniq_single", event_lines, lambda x: aggregate.uniq(x, only="single"), RUNS + "SELECT src, line_no, line FROM g WHERE n = 1")
 _filter("a05_uniq_all_repeated", event_lines, aggregate.uniq_all_repeated, RUNS + "SELECT r.src, r.line_no, r.line FROM r JOIN g ON r.src = g.src AND r.run = g.run WHERE n > 1")
 _filter("a06_uniq_key", event_lines, lambda x: aggregate.uniq(x, aggregate.run_key(F.col("line"), ignore_case=True, first=1)), _RUNS.format(key="lower(substr(line, 1, 1))") + "SELECT src, line_no, line FROM g")
-query("a04_runs_of_large_sources", RUNS + "SELECT src, line_no, line, n FROM g")(lambda spark, d: large.runs(event_lines(spark, d)))
+query("a04_runs_of_large_sources", RUNS + "SELECT src, line_no, line, n FROM g")(lambda spark, d: aggregate.runs(event_lines(spark, d)))
 query("a07_line_counts", LINES + "SELECT line, count(*) AS n FROM lines GROUP BY line")(lambda spark, d: aggregate.line_counts(doc_lines(spark, d)))
 query("a08_paste_serial", LINES + "SELECT src, string_agg(line, '|' ORDER BY line_no) AS line FROM lines GROUP BY src")(lambda spark, d: aggregate.paste_serial(doc_lines(spark, d), "|"))
 query("a09_xargs_echo", EVENTS + "SELECT src, string_agg(line, ' ' ORDER BY line_no) AS line FROM lines GROUP BY src")(lambda spark, d: aggregate.paste_serial(event_lines(spark, d), " "))

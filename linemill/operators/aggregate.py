@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linemill.functions.patterns import found
-from linemill.operators.filters import with_position
+from linemill.operators import large
 
 
 def word_count(lines: DataFrame) -> DataFrame:
@@ -35,17 +35,8 @@ def run_key(line: Column, ignore_case: bool = False, first: int | None = None, s
 
 
 def runs(lines: DataFrame, key: Column | None = None) -> DataFrame:
-    """Runs of adjacent lines of equal key: src, run, line (the first), line_no, n.
-
-    A run's number is the count of changes before it, so a source needs one
-    sort by line number for both windows.
-    """
-    order = Window.partitionBy("src").orderBy("line_no")
-    keyed = lines.withColumn("__key", F.col("line") if key is None else key)
-    changed = keyed.withColumn("__new", (~F.col("__key").eqNullSafe(F.lag("__key").over(order)) | F.lag("line_no").over(order).isNull()).cast("long"))
-    placed = changed.withColumn("run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = placed.groupBy("src", "run").agg(F.min(F.struct("line_no", "line")).alias("__first"), F.count("*").alias("n"))
-    return grouped.select("src", "run", F.col("__first.line_no").alias("line_no"), F.col("__first.line").alias("line"), "n")
+    """Runs of adjacent lines of equal key: src, line_no and line of the first, and the length n."""
+    return large.runs(lines.select("src", "line_no", "line"), key)
 
 
 def uniq(lines: DataFrame, key: Column | None = None, only: str | None = None) -> DataFrame:
@@ -63,10 +54,7 @@ def uniq_counted(lines: DataFrame, key: Column | None = None) -> DataFrame:
 
 def uniq_all_repeated(lines: DataFrame, key: Column | None = None) -> DataFrame:
     """uniq -D: all lines of runs of more than one."""
-    order = Window.partitionBy("src").orderBy("line_no")
-    keyed = lines.withColumn("__key", F.col("line") if key is None else key)
-    same = lambda shifted: F.coalesce(F.col("__key") == shifted, F.lit(False))
-    return keyed.withColumn("__again", same(F.lag("__key").over(order)) | same(F.lead("__key").over(order))).where("__again").drop("__key", "__again")
+    return large.repeated(lines, key)
 
 
 def line_counts(lines: DataFrame) -> DataFrame:

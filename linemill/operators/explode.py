@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linemill.functions.patterns import pattern
 from linemill.functions.replace import all_matches
+from linemill.operators.large import with_position
 
 
 def _exploded(lines: DataFrame, parts: Column) -> DataFrame:
-    order = Window.partitionBy("src").orderBy("line_no", "__sub")
-    rows = lines.select("src", "line_no", F.posexplode(parts).alias("__sub", "line"))
-    return rows.select("src", F.row_number().over(order).cast("long").alias("line_no"), "line")
+    rows = lines.select("src", F.col("line_no").alias("__line"), F.posexplode(parts).alias("__sub", "line"))
+    return with_position(rows, "line_no", order=("__line", "__sub")).select("src", "line_no", "line")
 
 
 def only_matching(lines: DataFrame, p: str) -> DataFrame:

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linemill.functions.fields import field
 from linemill.functions.patterns import found, pattern
+from linemill.operators.large import with_position
 
 #: The edge of a word for grep -w.
 _EDGE = "[^A-Za-z0-9_]"
 
 
-def with_position(lines: DataFrame, name: str = "pos") -> DataFrame:
-    """A column with each line's place in its source, from 1, gapless."""
-    return lines.withColumn(name, F.row_number().over(Window.partitionBy("src").orderBy("line_no")).cast("long"))
-
-
 def grep(lines: DataFrame, *patterns: str, invert: bool = False, word: bool = False, fixed: bool = False, ignore_case: bool = False) -> DataFrame:
     """Lines in which any of the patterns is found; each keeps its own anchors."""
     line = F.col("line")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linemill.operators.filters import with_position
+from linemill.operators.large import ranged, ranks, with_position
 
 
 def number_lines(rows: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
@@ -14,17 +14,13 @@ def number_lines(rows: DataFrame, *order: Column | str, name: str = "n") -> Data
     Rows are range-partitioned and sorted, counted by partition, and numbered in
     their partition after the rows of those before. The order must be total, or
     equal rows be interchangeable. The sorted rows are materialised, since
-    partition numbers must not move between the count and the numbering.
+    partition numbers must not move between the count and the numbering. Where
+    the order names all columns, equal rows are counted and ranked together.
     """
-    from linemill.plans.storage import materialised
-
+    if all(isinstance(o, str) for o in order) and {*order} == {*rows.columns}:
+        return ranks(rows, *order, name=name)
     spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Rows that are equal by the order, however many, are dealt by their hash.
-    hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
-    whole = [*order, F.xxhash64(*hashed)] if hashed else [*order]
-    ranged = rows.repartitionByRange(parts, *whole).sortWithinPartitions(*whole).withColumn("__part", F.spark_partition_id())
-    held = materialised(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    held = ranged(rows, *order, numbered=True)
     counts = held.groupBy("__part").count().collect()  # one row for each partition
     before, offsets = 0, []
     for r in sorted(counts, key=lambda r: r["__part"]):
@@ -76,8 +72,7 @@ def head(lines: DataFrame, n: int = 10) -> DataFrame:
 
 def tail(lines: DataFrame, n: int = 10) -> DataFrame:
     """The last n lines of each source."""
-    last = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("line_no")))
-    return lines.withColumn("__last", last).where(F.col("__last") <= n).drop("__last")
+    return with_position(lines, "__last", order=(F.desc("line_no"),)).where(F.col("__last") <= n).drop("__last")
 
 
 def tail_from(lines: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linemill.functions.fields import char_fields
-from linemill.operators.filters import with_position
+from linemill.operators.large import with_position
 
 
 def comm(a: DataFrame, b: DataFrame) -> DataFrame:
