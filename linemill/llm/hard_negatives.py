@@ -234,7 +234,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trees = []
     for dims, held in sorted(rows.items()):
         held.sort()
-        trees.append(spanning_tree(np.array([r[0] for r in held]), np.array([r[1] for r in held], np.int64), [r[2] for r in held], np.array([r[3] for r in held], np.float64).reshape(-1, dims)))
+        trees.append(spanning_tree(np.array([r[0] for r in held]), np.array([r[1] for r in held], np.int64), [r[2] for r in held], np.array([r[3] for r in held], np.float64).reshape(len(held), dims)))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)], pa.binary())], names=["forest"])
 
 

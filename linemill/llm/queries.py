@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linemill.llm import ann, language_id
+from linemill.llm import ann, bpe, hard_negatives, language_id, merkle, twins
 from linemill.llm._common import crc_fold, cut_lineage, fresh_dir, table
 from linemill.llm.minhash import near_duplicates
 from linemill.llm.mixing import mix
@@ -80,6 +80,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    told = bpe.decode(encoded, VOCABULARY)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return told.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(crc_fold(F.col("doc_id"), 5) == 0, merkle.leaf_digest(*fields, lowered))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", merkle.leaf_digest(*fields, F.col("text")).alias("leaf"), tampered.alias("claim"))
+    return merkle.manifest(rows, claim="claim").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -92,8 +113,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_bpe": op12_bpe,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": twins.HARD_NEGATIVES, "op13_merkle_manifest": twins.MERKLE}
