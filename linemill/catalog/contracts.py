@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from linemill.catalog.registry import EVENTS, LINES, PARTS, doc_lines, event_lines, part_records, query, table
+from linemill.catalog.registry import EVENTS, LINES, ORACLE_SQL, PARTS, doc_lines, event_lines, part_records, query, table
 from linemill.functions import charsets, fields
 from linemill.functions.patterns import matches
 from linemill.operators import aggregate, contracts, explode, filters, order
@@ -115,9 +115,81 @@ def c10(spark, d):
     return test("delete", lambda x: charsets.delete(x, "XYZ")).unionByName(test("squeeze", lambda x: charsets.squeeze(x, "r")))
 
 
+HINTED = [
+    stages.Stage("seq", lambda x: x.withColumn("line", F.col("line_no").cast("string"))),
+    stages.Stage("sort", lambda x: x.select("src", "line_no", "line"), input="[0-9]+", sorts_text=True),
+    stages.Stage("echo", lambda x: x.withColumn("line", F.concat(F.lit("n"), "line")), reads_input=False),
+    stages.Stage("grep", lambda x: filters.grep(x, "^none$")),
+    stages.Stage("blank", lambda x: x.withColumn("line", F.lit(""))),
+]
+HINTS = [stages.Rule(2, "assert", "output", "n[0-4]+"), stages.Rule(3, "assert", "output", "x"), stages.Rule(3, "contains", "input", "n1"), stages.Rule(4, "assert", "output", "y")]
+_RULED = """SELECT {i} AS stage_idx, '{n}' AS stage, 'heuristic_violation' AS kind, '{side}' AS side, '{rule}' AS pattern, (SELECT count(*) FROM {t}) AS n_rows, CAST(CASE WHEN {v} THEN 1 ELSE 0 END AS BIGINT) AS n_bad"""
+_BOUNDARIES = ["lines", "s0", "s1", "s2", "s3", "s4"]
+
+
+def _hints_sql():
+    """Each heuristic in SQL, over the lines before and after each stage."""
+    names, count = [s.name for s in HINTED], "(SELECT count(*) FROM {})".format
+    parts = []
+    for i, name in enumerate(names):
+        before, after = _BOUNDARIES[i : i + 2]
+        some = f"(SELECT count(*) FROM {after} WHERE line <> '')"
+        none = f"({count(after)} = 0 AND {i} < {len(names) - 1}) OR ({count(after)} > 0 AND {some} = 0)"
+        same = f"NOT EXISTS (SELECT line FROM {before} EXCEPT ALL SELECT line FROM {after}) AND {count(before)} = {count(after)}"
+        numeric = f"{'true' if name == 'sort' else 'false'} AND (SELECT count(*) > 0 AND bool_and(regexp_full_match(line, '-?[0-9]+([ \\t]*-?[0-9]+)*')) FROM {before})"
+        for rule, side, t, v in (("no_empty_output", "output", after, none), ("no_ignored_input", "input", before, "true" if name == "echo" else "false"), ("no_useless_composition", "output", after, same), ("no_lexicographic_numeric_sort", "input", before, numeric)):
+            parts.append(_RULED.format(i=i, n=name, side=side, rule=rule, t=t, v=v))
+    row = "SELECT {i}, '{n}', '{k}', '{side}', '{p}', (SELECT count(*) FROM {t}), {v}".format
+    parts += [
+        row(i=1, n="sort", k="input_mismatch", side="input", p="[0-9]+", t="s0", v="(SELECT count(*) FROM s0 WHERE NOT regexp_full_match(line, '[0-9]+'))"),
+        row(i=2, n="echo", k="assertion_violation", side="output", p="n[0-4]+", t="s2", v="(SELECT count(*) FROM s2 WHERE NOT regexp_full_match(line, 'n[0-4]+'))"),
+        row(i=3, n="grep", k="contains_violation", side="input", p="n1", t="s2", v="CAST(CASE WHEN (SELECT count(*) FROM s3) = 0 THEN NULL WHEN EXISTS (SELECT 1 FROM s2 WHERE line = 'n1') THEN 0 ELSE 1 END AS BIGINT)"),
+        row(i=3, n="grep", k="assertion_violation", side="output", p="x", t="s3", v="(SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM s3)"),
+        row(i=4, n="blank", k="assertion_violation", side="output", p="y", t="s4", v="(SELECT CASE WHEN count(*) = 0 THEN 0 END FROM s4)"),
+    ]
+    return EVENTS + ", s0 AS (SELECT src, line_no, CAST(line_no AS VARCHAR) AS line FROM lines), s1 AS (SELECT * FROM s0), s2 AS (SELECT src, line_no, 'n' || line AS line FROM s1), s3 AS (SELECT * FROM s2 WHERE line = 'none'), s4 AS (SELECT src, line_no, '' AS line FROM s3) " + " UNION ALL ".join(parts)
+
+
+@query("c05_heuristics", _hints_sql())
+def c05_heuristics(spark, d):
+    """All four heuristics on one pipeline; a stage without output has its other rules skipped."""
+    return stages.check_pipeline(event_lines(spark, d), HINTED, HINTS, heuristics=True).select("stage_idx", "stage", "kind", "side", "pattern", "n_rows", "n_bad")
+
+
+@query("c05_observed", ORACLE_SQL["c05_check_pipeline"])
+def c05_observed(spark, d):
+    """The report of c05_check_pipeline from the run that writes the lines."""
+    folder = f"{shared_folder(spark)}/linemill-observed-{uuid.uuid4().hex}"
+    report = stages.observe_pipeline(doc_lines(spark, d), CHECKED, lambda df: df.write.parquet(folder), RULES)
+    return report.where("n_bad is not null").select("stage_idx", "stage", "kind", "side", "n_rows", "n_bad", "witness")
+
+
+@query("c12_ignored_input", EVENTS + "SELECT 1 AS stage_idx, 'b' AS stage, CAST(1 AS BIGINT) AS n_bad, count(*) AS n_rows FROM lines WHERE contains(line, 'i') HAVING count(*) > 0 UNION ALL SELECT 0, 'a', 0, count(*) FROM lines")
+def c12(spark, d):
+    steps = [stages.Stage("a", lambda x: filters.grep(x, "i"), reads_input=False), stages.Stage("b", lambda x: x, reads_input=False)]
+    report = stages.check_pipeline(event_lines(spark, d), steps, heuristics=True).where("pattern = 'no_ignored_input'")
+    return report.select("stage_idx", "stage", "n_bad", "n_rows")
+
+
 query("c11_numeric_sorted_as_text", "SELECT bool_and(regexp_full_match(CAST(o_custkey AS VARCHAR), '-?[0-9]+([ \\t]*-?[0-9]+)*')) AS all_numeric FROM orders")(lambda spark, d: contracts.lexicographic_numeric_sort(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("k")), "k"))
 
 
+_C13 = ORACLE_SQL["c05_check_pipeline"]
+
+
+@query("c13_report_compact", f"SELECT stage_idx || ':' || stage || ':' || kind || ':' || side || ':' || n_bad AS line FROM ({_C13}) UNION ALL SELECT '1:lower:assumption:input:0'")
+def c13_compact(spark, d):
+    return stages.rendered(stages.check_pipeline(doc_lines(spark, d), CHECKED, RULES), "compact")
+
+
+@query(
+    "c13_report_human",
+    f"SELECT 'stage ' || stage_idx || ' (' || stage || '): ' || CASE WHEN n_bad > 0 THEN side || ' of ' || stage || ': ' || n_bad || ' of ' || n_rows || ' lines outside ' || CASE kind WHEN 'input_mismatch' THEN '[^0-9]*' WHEN 'assertion_violation' THEN CASE stage_idx WHEN 0 THEN '[A-Z][^|]*' ELSE '[^A-Z]*' END END ELSE 'ok' END || coalesce(', e.g. ' || witness, '') AS line FROM ({_C13}) UNION ALL SELECT 'stage 1 (lower): assumed'",
+)
+def c13_human(spark, d):
+    return stages.rendered(stages.check_pipeline(doc_lines(spark, d), CHECKED, RULES))
+
+
 @query("c13_report")
 def c13(spark, d):
     return stages.rendered(stages.check_pipeline(doc_lines(spark, d), CHECKED, RULES), "json")
@@ -126,6 +198,13 @@ def c13(spark, d):
 query("c14_status", LINES + f"SELECT CASE WHEN count(*) FILTER (WHERE {_bad('[^0-9]*')}) > 0 THEN 1 ELSE 0 END AS status FROM lines")(lambda spark, d: stages.status(stages.check_pipeline(doc_lines(spark, d), CHECKED[:1])))
 
 
+@query("c14_status_of_a_failure", EVENTS + "SELECT CASE WHEN count(*) FILTER (WHERE line = 'click') > 0 THEN 2 ELSE 0 END AS status, count(*) FILTER (WHERE line = 'click') > 0 AS told FROM lines")
+def c14_failure(spark, d):
+    broken = stages.Stage("broken", lambda x: x.withColumn("line", F.when(F.col("line") == "click", F.raise_error(F.lit("no clicks"))).otherwise(F.col("line"))), input=".*")
+    rules = [stages.Rule(0, "assert", "output", ".*")]
+    return stages.run_status(spark, lambda: stages.check_pipeline(event_lines(spark, d), [broken], rules)).select("status", F.col("message").isNotNull().alias("told"))
+
+
 @query("c15_quarantine", PARTS + "SELECT src, line_no, CASE WHEN regexp_full_match(line, '[^0-9]*#[0-9] .*') THEN 'ok' ELSE 'line outside [^0-9]*#[0-9] .*' END AS reason FROM lines")
 def c15(spark, d):
     good, bad = contracts.quarantine(part_records(spark, d), "line", "[^0-9]*#[0-9] .*")
@@ -294,6 +373,16 @@ def u01(spark, d):
     return stages.compose(known.get("pick").apply, known.get("lower").apply)(doc_lines(spark, d))
 
 
+@query("u02_unknown_stage", EVENTS + "SELECT line AS name, line IN ('click', 'view') AS known, CASE line WHEN 'click' THEN '[0-9]+' ELSE '.*' END AS input, CASE line WHEN 'view' THEN 'v+' ELSE '.*' END AS output FROM lines")
+def u02(spark, d):
+    """Names without a stage have the open type on both sides."""
+    known = stages.Registry()
+    known.register(stages.Stage("click", lambda x: x, input="[0-9]+"), built_in=True)
+    known.register(stages.Stage("view", lambda x: x, input="x", output="y"), built_in=True)
+    known.register(stages.Stage("view", lambda x: x, output="v+"))
+    return known.signatures(event_lines(spark, d).select(F.col("line").alias("name")))
+
+
 #: The minimal pipeline end to end: lines, filter, words, counts, contract with witness.
 FLAGSHIP_SQL = (
     LINES

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from linemill.functions.patterns import matches
+from linemill.functions.patterns import literal_of, matches
 from linemill.operators.contracts import least_bad, outside, shown
 
 Rows = Callable[[DataFrame], DataFrame]
@@ -19,12 +20,18 @@ REPORT = "stage_idx int, stage string, kind string, side string, pattern string,
 
 @dataclass(frozen=True)
 class Stage:
-    """A named step on lines with the types it takes and gives; None is the open type."""
+    """A named step on lines with the types it takes and gives; None is the open type.
+
+    reads_input is false for a step that makes its lines of its own; sorts_text
+    is true for one that orders them as text.
+    """
 
     name: str
     apply: Rows
     input: str | None = None
     output: str | None = None
+    reads_input: bool = True
+    sorts_text: bool = False
 
 
 @dataclass(frozen=True)
@@ -55,59 +62,157 @@ class Registry:
 
         return self.own.get(name) or self.built_in.get(name) or Stage(name, unknown)
 
+    def signatures(self, names: DataFrame) -> DataFrame:
+        """For each name of a column name: known, and the types that its stage takes and gives; open ones where it is unknown."""
+        rows = [(n, s.input, s.output) for n, s in {**self.built_in, **self.own}.items()]
+        known = names.sparkSession.createDataFrame(rows, "name string, input string, output string").withColumn("known", F.lit(True))
+        open_ = [F.coalesce(c, F.lit(".*")).alias(c) for c in ("input", "output")]
+        return names.join(F.broadcast(known), "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"), *open_)  # as many rows as stages
+
 
 def compose(*steps: Rows) -> Rows:
     """One step after the other."""
     return lambda df: reduce(lambda d, step: d.transform(step), steps, df)
 
 
-def check_pipeline(lines: DataFrame, stages: list[Stage], rules: list[Rule] = ()) -> DataFrame:
+def check_pipeline(lines: DataFrame, stages: list[Stage], rules: list[Rule] = (), heuristics: bool = False) -> DataFrame:
     """The violation report of a pipeline: a row for each contract of each stage.
 
-    All contracts of a stage's input, and all of its output, are counted in one
-    aggregate each; a null line is outside every type, and a line that must be
+    Everything that is asked of the lines between two stages is measured in one
+    aggregate; a null line is outside every type, and a line that must be
     there and isn't counts as one violation. Assumed contracts are reported with a null count and not evaluated; a
     stage whose input is assumed is not checked on it. Of several rules of a
     kind and side at one stage, the last holds.
+
+    With heuristics, each stage also has a row for each way in which it is
+    likely a mistake (HEURISTICS); a stage that gives nothing, the last one
+    excepted, or only empty lines, has its other rules skipped: their count is null.
     """
-    last = {(r.stage_idx, r.kind, r.side): r for r in rules}
+    plan = _Plan(lines.sparkSession, stages, rules, heuristics)
     parts, now = [], lines
-    for i, stage in enumerate(stages):
-        assumed = (i, "assume", "input") in last
-        inward = [("input_mismatch", "input", stage.input)] if stage.input is not None and not assumed else []
-        parts.append(_checked(now, i, stage.name, inward + _asserted(last, i, "input")))
-        now = stage.apply(now)
-        parts.append(_checked(now, i, stage.name, _asserted(last, i, "output")))
-        for side in ("input", "output"):
-            if rule := last.get((i, "assume", side)):
-                parts.append(lines.sparkSession.createDataFrame([(i, stage.name, "assumption", side, rule.pattern, None, None, None, "assumed")], REPORT))
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None], lines.sparkSession.createDataFrame([], REPORT))
-
-
-def _asserted(last: dict, i: int, side: str) -> list[tuple[str, str, str]]:
-    kinds = (("assert", "assertion_violation"), ("contains", "contains_violation"))
-    return [(kind, side, r.pattern) for name, kind in kinds if (r := last.get((i, name, side)))]
-
-
-def _checked(df: DataFrame, i: int, name: str, contracts: list[tuple[str, str, str]]) -> DataFrame | None:
-    if not contracts:
-        return None
-    aggs, rows = [F.count("*").alias("n_rows")], []
-    for k, (kind, side, p) in enumerate(contracts):
-        if kind == "contains_violation":
-            found = F.count_if(F.col("line") == F.lit(p))
-            aggs += [F.when(found == 0, 1).otherwise(0).cast("long").alias(f"bad{k}"), F.when(found == 0, F.struct(F.lit(p).alias("value"))).alias(f"least{k}")]
-        else:
-            bad = outside(F.col("line"), p)
-            aggs += [F.count_if(bad).alias(f"bad{k}"), least_bad(F.col("line"), bad).alias(f"least{k}")]
-        message = F.when(F.col(f"bad{k}") > 0, F.format_string("%s of %s: %d of %d lines outside %s", F.lit(side), F.lit(name), F.col(f"bad{k}"), F.col("n_rows"), F.lit(p))).otherwise(F.lit("ok"))
-        rows.append(
-            F.struct(
-                F.lit(i).alias("stage_idx"), F.lit(name).alias("stage"), F.lit(kind).alias("kind"), F.lit(side).alias("side"), F.lit(p).alias("pattern"), "n_rows",
-                F.col(f"bad{k}").alias("n_bad"), shown(F.col(f"least{k}.value")).alias("witness"), message.alias("message"),
-            )
-        )
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    for b in range(len(stages) + 1):
+        parts.append(now.agg(*plan.metrics(b)).withColumn("b", F.lit(b)))
+        now = stages[b].apply(now) if b < len(stages) else now
+    return plan.report(reduce(DataFrame.unionByName, parts))
+
+
+def observe_pipeline(lines: DataFrame, stages: list[Stage], write: Callable[[DataFrame], None], rules: list[Rule] = (), heuristics: bool = False) -> DataFrame:
+    """Run the pipeline into a sink and give the report of check_pipeline, measured on the rows that flow by.
+
+    write gets the last stage's lines and runs one action. The source is read
+    once, by that action, with one observation between every two stages. Where
+    observations would not tell of all rows once (a stage that sorts globally or
+    stops reading early, materialises its input, or uses it twice), the pipeline
+    is written without them and the report measured by check_pipeline. A task
+    whose shuffled output was lost and is computed again is observed again.
+    """
+    plan, observed, now = _Plan(lines.sparkSession, stages, rules, heuristics), [], lines
+    for b in range(len(stages) + 1):
+        observed.append(Observation())
+        now = now.observe(observed[-1], *plan.metrics(b))
+        now = stages[b].apply(now) if b < len(stages) else now
+    told = now._jdf.queryExecution().optimizedPlan().toString()
+    early = [word for word in ("Sort", "GlobalLimit", "RepartitionByExpression") if word in told]
+    if told.count("CollectMetrics") != len(observed) or early:
+        write(compose(*[s.apply for s in stages])(lines))
+        return check_pipeline(lines, stages, rules, heuristics)
+    write(now)
+    rows = [{**one.get, "b": b} for b, one in enumerate(observed)]
+    return plan.report(lines.sparkSession.createDataFrame([tuple(r[n] for n in plan.names) for r in rows], plan.schema))
+
+
+# What a stage is warned of, with its message.
+HEURISTICS = {
+    "no_empty_output": ("output", "'%s' always produces empty output"),
+    "no_ignored_input": ("input", "'%s' does not read from stdin"),
+    "no_useless_composition": ("output", "'%s' does not transform its input"),
+    "no_lexicographic_numeric_sort": ("input", "'%s' receives numeric input but sorts it as text"),
+}
+_NUMERIC = "-?[0-9]+([ \\t]*-?[0-9]+)*"
+
+
+class _Plan:
+    """What is measured between stages, and the report that is made of it."""
+
+    names = ("b", "n_rows", "n_filled", "n_numeric", "hashes", "crcs", "checks")
+    schema = "b int, n_rows long, n_filled long, n_numeric long, hashes decimal(38,0), crcs long, checks array<struct<n_bad:long,value:string>>"
+
+    def __init__(self, spark: SparkSession, stages: list[Stage], rules: list[Rule], heuristics: bool):
+        self._spark, self._stages, self._heuristics = spark, stages, heuristics
+        last = {(r.stage_idx, r.kind, r.side): r for r in rules}
+        self._checks: list[tuple] = []  # stage_idx, stage, kind, side, pattern, b, k: the k-th check on the lines before stage b
+        self._assumed: list[tuple] = []
+        for i, stage in enumerate(stages):
+            if stage.input is not None and (i, "assume", "input") not in last:
+                self._add(i, "input_mismatch", "input", stage.input)
+            for side in ("input", "output"):
+                for name, kind in (("assert", "assertion_violation"), ("contains", "contains_violation")):
+                    if rule := last.get((i, name, side)):
+                        if name == "contains" and literal_of(rule.pattern) is None:
+                            raise ValueError(f"{rule.pattern!r} is not a literal")
+                        self._add(i, kind, side, rule.pattern)
+                if rule := last.get((i, "assume", side)):
+                    self._assumed.append((i, stage.name, "assumption", side, rule.pattern, None, None, None, "assumed"))
+
+    def _add(self, i: int, kind: str, side: str, p: str) -> None:
+        b = i + (side == "output")
+        self._checks.append((i, self._stages[i].name, kind, side, p, b, sum(c[5] == b for c in self._checks)))
+
+    def metrics(self, b: int) -> list[Column]:
+        """The aggregates over the lines before stage b."""
+        line, checks = F.col("line"), []
+        for _, _, kind, _, p, at, _ in self._checks:
+            if at == b and kind == "contains_violation":
+                missing = F.count_if(line == F.lit(literal_of(p))) == 0
+                checks.append(F.struct(F.when(missing, 1).otherwise(0).cast("long").alias("n_bad"), F.when(missing, F.lit(literal_of(p))).alias("value")))
+            elif at == b:
+                bad = outside(line, p)
+                checks.append(F.struct(F.count_if(bad).alias("n_bad"), least_bad(line, bad).getField("value").alias("value")))
+        sorts = self._heuristics and b < len(self._stages) and self._stages[b].sorts_text
+        zero = F.max(F.lit(0)).cast("long")
+        return [
+            F.count("*").alias("n_rows"),
+            (F.count_if(line != "") if self._heuristics else zero).alias("n_filled"),
+            (F.count_if(F.coalesce(matches(line, _NUMERIC), F.lit(False))) if sorts else zero).alias("n_numeric"),
+            (F.sum(F.xxhash64("line").cast("decimal(20,0)")) if self._heuristics else zero).cast("decimal(38,0)").alias("hashes"),
+            (F.sum(F.coalesce(F.crc32("line"), F.lit(0))) if self._heuristics else zero).cast("long").alias("crcs"),
+            F.array(*checks).cast("array<struct<n_bad:long,value:string>>").alias("checks"),
+        ]
+
+    def report(self, measured: DataFrame) -> DataFrame:
+        """measured has one row for the lines before each stage and after the last."""
+        spark = self._spark
+        held = measured.groupBy().agg(F.sort_array(F.collect_list(F.struct(*self.names))).alias("at"))  # stages + 1 small structs
+        at = lambda b: F.element_at("at", b + 1)
+        empty = lambda i: ((at(i + 1)["n_rows"] == 0) & F.lit(i < len(self._stages) - 1)) | ((at(i + 1)["n_rows"] > 0) & (at(i + 1)["n_filled"] == 0))
+        rows = []
+        for i, name, kind, side, p, b, k in self._checks:
+            n_rows, n_bad = at(b)["n_rows"], F.element_at(at(b)["checks"], k + 1)["n_bad"]
+            value = F.element_at(at(b)["checks"], k + 1)["value"]
+            message = F.when(n_bad > 0, F.format_string("%s of %s: %d of %d lines outside %s", F.lit(side), F.lit(name), n_bad, n_rows, F.lit(p))).otherwise(F.lit("ok"))
+            if self._heuristics and kind != "input_mismatch" and (side == "output" or kind == "contains_violation"):
+                skip = empty(i)
+                n_bad, value, message = F.when(~skip, n_bad), F.when(~skip, value), F.when(skip, F.lit("skipped")).otherwise(message)
+            rows.append(_row(i, name, kind, side, F.lit(p), n_rows, n_bad, shown(value), message))
+        for i, stage in enumerate(self._stages if self._heuristics else []):
+            same = [at(i)[c].eqNullSafe(at(i + 1)[c]) for c in ("n_rows", "hashes", "crcs")]
+            violated = {
+                "no_empty_output": empty(i),
+                "no_ignored_input": F.lit(i > 0 and not stage.reads_input),
+                "no_useless_composition": same[0] & same[1] & same[2],
+                "no_lexicographic_numeric_sort": F.lit(stage.sorts_text) & (at(i)["n_rows"] > 0) & (at(i)["n_numeric"] == at(i)["n_rows"]),
+            }
+            for rule, (side, text) in HEURISTICS.items():
+                n_bad = F.when(violated[rule], 1).otherwise(0).cast("long")
+                n_rows = at(i + (side == "output"))["n_rows"]
+                rows.append(_row(i, stage.name, "heuristic_violation", side, F.lit(rule), n_rows, n_bad, F.lit(None).cast("string"), F.when(n_bad > 0, F.lit(text % stage.name)).otherwise(F.lit("ok"))))
+        assumed = spark.createDataFrame(self._assumed, REPORT)
+        return held.select(F.explode(F.array(*rows)).alias("r")).select("r.*").unionByName(assumed) if rows else assumed
+
+
+def _row(i: int, name: str, kind: str, side: str, *rest: Column) -> Column:
+    named = [c.alias(n) for c, n in zip(rest, ("pattern", "n_rows", "n_bad", "witness", "message"))]
+    return F.struct(F.lit(i).alias("stage_idx"), F.lit(name).alias("stage"), F.lit(kind).alias("kind"), F.lit(side).alias("side"), *named)
 
 
 def status(report: DataFrame) -> DataFrame:
@@ -115,6 +220,16 @@ def status(report: DataFrame) -> DataFrame:
     return report.agg(F.when(F.count_if(F.col("n_bad") > 0) > 0, 1).otherwise(0).alias("status"))
 
 
+def run_status(spark: SparkSession, check: Callable[[], DataFrame]) -> DataFrame:
+    """One row (status, message) of a check that is run here: as in status(), or 2 and the reason where it fails."""
+    try:
+        found = status(check()).first()["status"]
+        told = None
+    except (PySparkException, ValueError, KeyError) as e:
+        found, told = 2, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return spark.createDataFrame([(found, told)], "status int, message string")
+
+
 def rendered(report: DataFrame, form: str = "human") -> DataFrame:
     """The report as lines: human, compact or json."""
     if form == "json":
