@@ -97,6 +97,26 @@ def c07(spark, d):
     return counted.select("src", "line_no", contracts.template_matches(F.col("out"), F.col("line"), "( )*[0-9]+ {{input}}").alias("ok"))
 
 
+@query(
+    "c07_template_holes",
+    """SELECT o_orderkey, o_orderkey % 4 <> 1 AS ok, o_orderkey % 4 NOT IN (1, 2) AS exact, true AS joined FROM orders""",
+)
+def c07_holes(spark, d):
+    """Patterns before, between and after two values of the row; a pattern that is too narrow; all operands."""
+    k = F.col("o_orderkey") % 4
+    key, status, priority = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    between = F.when(k == 1, F.lit("?")).when(k == 2, F.lit("12-34")).otherwise(F.lit("56"))
+    out = F.concat(F.lit("id "), key, between, F.lit("-"), status, F.lit(" tail."))
+    values = {"$1": key, "n$1": status, "$2": priority}
+    told = contracts.template_matches
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        told(out, status, "[a-z]+ {{$1}}[0-9-]+{{input}} t.*", values).alias("ok"),
+        told(out, status, "id {{$1}}[0-9]+-{{n$1}}[^!]+", values).alias("exact"),
+        told(F.concat(F.lit("all: "), key, F.lit(" "), priority), status, "[a-z]+: {{$@}}", values).alias("joined"),
+    )
+
+
 @query("c08_dedupe_rules", "SELECT CAST(o_custkey AS BIGINT) AS stage, o_orderstatus AS kind, max(o_orderkey) AS pos FROM orders GROUP BY o_custkey, o_orderstatus")
 def c08(spark, d):
     return contracts.dedupe_rules(table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("stage"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("pos")))
@@ -226,6 +246,29 @@ def c16(spark, d):
     return contracts.containment_matrix(events.select(F.col("props").alias("v")).union(events.select("event_type")), "v", _TYPES)
 
 
+#: 300 types: lines that hold a letter, or start with it, and more than so many characters.
+_MANY = {f"{kind}-{c}-{n}": (f"[^{c}]*{c}.{{{n},}}" if kind == "first" else f"{c}.{{{n},}}") for kind in ("first", "starts") for c in "abcdefghijklmnoprstuvwxyz" for n in (0, 1, 2, 5, 9, 40)}
+_MANY_SQL = "CASE WHEN t[1] = 'first' THEN instr(v, t[2]) > 0 AND length(v) - instr(v, t[2]) >= CAST(t[3] AS INTEGER) ELSE starts_with(v, t[2]) AND length(v) - 1 >= CAST(t[3] AS INTEGER) END"
+
+
+@query(
+    "c16_many_types",
+    f"""WITH v AS (SELECT DISTINCT v FROM (SELECT props AS v FROM events UNION ALL SELECT event_type FROM events)), t AS (SELECT unnest([{", ".join(f"'{n}'" for n in _MANY)}]) AS name),
+w AS (SELECT name, v FROM (SELECT name, string_split(name, '-') AS t, v FROM t, v) WHERE {_MANY_SQL}),
+n AS (SELECT t.name, (SELECT count(*) FROM w WHERE w.name = t.name) AS n FROM t), met AS (SELECT a.name AS a, b.name AS b, count(*) AS n FROM w a JOIN w b USING (v) GROUP BY ALL),
+below AS (SELECT x.name AS a, y.name AS b FROM n x, n y WHERE x.n = coalesce((SELECT met.n FROM met WHERE met.a = x.name AND met.b = y.name), 0)),
+same AS (SELECT x.a AS type, min(x.b) AS class FROM below x JOIN below y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+over AS (SELECT DISTINCT x.class AS c, y.class AS d FROM below JOIN same x ON x.type = below.a JOIN same y ON y.type = below.b WHERE x.class <> y.class),
+direct AS (SELECT c, d FROM over o WHERE NOT EXISTS (SELECT 1 FROM over p JOIN over q ON p.d = q.c WHERE p.c = o.c AND q.d = o.d))
+SELECT type, class, coalesce((SELECT string_agg(d, ' ' ORDER BY d) FROM direct WHERE c = class), '') AS covered_by FROM same""",
+)
+def c16_many(spark, d):
+    """The order of 300 types on the values of two columns: equivalent ones, and what covers each directly."""
+    events = table(spark, d, "events")
+    ordered = contracts.type_order(events.select(F.col("props").alias("v")).union(events.select("event_type")), "v", _MANY)
+    return ordered.select("type", "class", F.array_join("covered_by", " ").alias("covered_by"))
+
+
 @query("c17_saved_contracts", "SELECT DISTINCT event_type AS command, event_type || '+' AS output FROM events UNION ALL SELECT 'nl', ' +[0-9]+ +.*'")
 def c17(spark, d):
     path = f"{shared_folder(spark)}/linemill-contracts-{uuid.uuid4().hex}"
@@ -278,9 +321,11 @@ def _language(path="path"):
 _BYTES = "CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT)"
 
 
-@query("s03_list_files", "SELECT DISTINCT coalesce(lang, 'none') AS name, true AS sized FROM documents")
+@query("s03_list_files", f"SELECT coalesce(lang, 'none') AS name, {_BYTES} AS size, true AS named FROM documents GROUP BY ALL")
 def s03(spark, d):
-    return _text_files(spark, d).groupBy(_language()).agg(F.bool_and(F.col("length") > 0).alias("sized"))
+    """Every file that the glob names, in its folder, with all bytes of its texts, and no other one (_SUCCESS)."""
+    named = F.col("path").rlike("/language=[^/]+/part-[^/]+\\.txt\\z")
+    return _text_files(spark, d).groupBy(_language()).agg(F.sum("length").alias("size"), F.bool_and(named).alias("named"))
 
 
 @query("s04_file_stats", f"SELECT coalesce(lang, 'none') AS name, {_BYTES} AS size, true AS dated FROM documents GROUP BY ALL")
@@ -325,6 +370,35 @@ query("j07_grep_named", LINES + "SELECT CAST(src AS VARCHAR) || ':' || line AS l
 )
 
 
+def _named(spark, d, language):
+    """A stream that names all files of a language, and one line for each document that names none."""
+    files = _text_files(spark, d)
+    own = files.where(_language() == language).select(F.col("path").alias("line"))
+    return own.unionByName(table(spark, d, "documents").select(F.concat(F.lit("no such file "), F.col("doc_id").cast("string")).alias("line")))
+
+
+_NAMED_LINES = "WITH lines AS (SELECT doc_id AS src, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE lang = '{}') "
+
+
+@query("s05_named_files", _NAMED_LINES.format("es") + "SELECT line, count(*) AS n FROM lines GROUP BY line UNION ALL SELECT 'refused', count(*) FROM documents")
+def s05_named(spark, d):
+    """Lines of the named files only; refused lines are counted beside them."""
+    lines, refused = sources.read_named(spark, _named(spark, d, "es"))
+    return aggregate.line_counts(lines).unionByName(refused.agg(F.lit("refused").alias("line"), F.count("*").alias("n")))
+
+
+@query("a14_count_named_files", _NAMED_LINES.format("fr") + "SELECT 'fr' AS name, count(*) AS n_lines, CAST(sum(len(regexp_extract_all(line, '\\S+'))) AS BIGINT) AS n_words, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM lines")
+def a14_files(spark, d):
+    counts = aggregate.word_count(sources.read_named(spark, _named(spark, d, "fr"))[0])
+    return counts.groupBy(_language("src")).agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_words", "n_bytes")])
+
+
+@query("j07_grep_named_files", _NAMED_LINES.format("de") + "SELECT 'de:' || line AS line FROM lines WHERE contains(line, 'ung')")
+def j07_files(spark, d):
+    found = filters.grep(sources.read_named(spark, _named(spark, d, "de"))[0], "ung")
+    return found.select(F.concat(_language("src"), F.lit(":"), "line").alias("line"))
+
+
 # Streams over the events table
 
 
@@ -349,11 +423,19 @@ def t02(spark, d):
     return streams.drained(streams.stream_contracts(_stream(spark, d), [("type", "event_type", "[a-l][a-z]*"), ("props", "props", '.*"k": [0-9].')]), "complete", shared_folder(spark))
 
 
+@query("t02_updated_contracts", ORACLE_SQL["t02_stream_contracts"])
+def t02_updated(spark, d):
+    """The same, in update mode: only what a batch changes is written, and the last state of each rule is read."""
+    folder = f"{shared_folder(spark)}/linemill-running-{uuid.uuid4().hex}"
+    rules = [("type", "event_type", "[a-l][a-z]*"), ("props", "props", '.*"k": [0-9].')]
+    streams.keep_running(streams.stream_contracts(_stream(spark, d), rules), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return streams.latest(spark, f"{folder}/rows", ["rule"])
+
+
 @query("t03_stream_quarantine", "SELECT 'good' AS side, count(*) FILTER (WHERE regexp_full_match(event_type, 'c.*')) AS n FROM events UNION ALL SELECT 'bad', count(*) FILTER (WHERE NOT regexp_full_match(event_type, 'c.*')) FROM events")
 def t03(spark, d):
     folder = f"{shared_folder(spark)}/linemill-quarantine-{uuid.uuid4().hex}"
-    to = lambda side: lambda batch: batch.write.mode("append").parquet(f"{folder}/{side}")
-    streams.stream_quarantine(_stream(spark, d), "event_type", "c.*", to("good"), to("bad"), f"{folder}/checkpoint").awaitTermination()
+    streams.stream_quarantine(_stream(spark, d), "event_type", "c.*", f"{folder}/good", f"{folder}/bad", f"{folder}/checkpoint").awaitTermination()
     count = lambda side: spark.read.parquet(f"{folder}/{side}").agg(F.lit(side).alias("side"), F.count("*").alias("n"))
     return count("good").unionByName(count("bad"))
 

@@ -104,6 +104,10 @@ query("f16_is_empty", LINES + "SELECT count(*) = 0 AS is_empty, count(*) > 0 AND
 # Fields and characters
 _project("p01_cut_fields", order_records, lambda x: fields.cut_fields(x, [3, 1, 9]), "array_to_string([x FOR x IN [string_split(line, chr(9))[1], string_split(line, chr(9))[3]] IF x IS NOT NULL], chr(9))")
 _project("p02_cut_ranges", order_records, lambda x: fields.cut_fields(x, [(2, 2), (3, None)]), "array_to_string(string_split(line, chr(9))[2:], chr(9))")
+_HEX = "hex(encode(line))"
+_WHOLE = "((?:[0-7]. )|(?:[CD]. [89AB]. )|(?:E. (?:[89AB]. ){2})|(?:F. (?:[89AB]. ){3}))|(?:.. )"
+_BYTES = f"decode(unhex(replace(regexp_replace(regexp_replace(substr({_HEX}, 1, 6) || substr({_HEX}, 9, 24) || substr({_HEX}, 61), '(..)', '\\1 ', 'g'), '{_WHOLE}', '\\1', 'g'), ' ', '')))"
+_project("p03_cut_bytes", doc_lines, lambda x: fields.cut_bytes(x, [(1, 3), (5, 16), (31, None)]), f"CASE WHEN strlen(line) = length(line) THEN substr(line, 1, 3) || substr(line, 5, 12) || substr(line, 31) ELSE {_BYTES} END")
 _project("p03_cut_characters", doc_lines, lambda x: fields.cut_characters(x, [1, 3, (5, 8), (20, None)]), "substr(line, 1, 1) || substr(line, 3, 1) || substr(line, 5, 4) || substr(line, 20)")
 query("p04_cut_complement", COMMAED + "SELECT src, line_no, array_to_string([string_split(line, ',')[1], string_split(line, ',')[4]], ',') AS line FROM lines")(lambda spark, d: commaed(spark, d).select("src", "line_no", fields.cut_fields(F.col("line"), [(2, 3)], ",", complement=True).alias("line")))
 _project("p05_translate", doc_lines, lambda x: charsets.translate(x, "a-e", "xyz"), "translate(line, 'abcde', 'xyzzz')")

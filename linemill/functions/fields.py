@@ -50,6 +50,19 @@ def cut_characters(line: Column, spans: list[Span]) -> Column:
     return F.concat(*[F.substring(line, a, 2**31 - 1 if b is None else b - a + 1) for a, b in _ranges(spans)])
 
 
+def cut_bytes(line: Column, spans: list[Span]) -> Column:
+    """cut -b: the UTF-8 bytes at the listed places, as a text; bytes of a character that is cut apart are left out.
+
+    Bytes are handled as hexadecimal digits. What is left over of a character,
+    lone leading or following bytes, is no text and is removed.
+    """
+    digits = F.hex(F.encode(line, "utf-8"))
+    kept = F.concat(*[F.substring(digits, 2 * a - 1, 2**31 - 1 if b is None else 2 * (b - a + 1)) for a, b in _ranges(spans)])
+    spaced = F.regexp_replace(kept, "(..)", "$1 ")
+    whole = r"((?:[0-7]. )|(?:[CD]. [89AB]. )|(?:E. (?:[89AB]. ){2})|(?:F. (?:[89AB]. ){3}))|(?:.. )"
+    return F.decode(F.unhex(F.replace(F.regexp_replace(spaced, whole, "$1"), F.lit(" "), F.lit(""))), "utf-8")
+
+
 def blank_fields(line: Column) -> Column:
     """Fields parted by runs of blanks; none in a blank line."""
     trimmed = F.regexp_replace(line, r"\A[ \t]+|[ \t]+\z", "")

@@ -91,18 +91,65 @@ def fill_template(template: str, values: dict[str, str]) -> str:
     return re.sub(r"\{\{(.+?)\}\}", lambda m: quote(values[m[1]]), template)
 
 
-def template_matches(output: Column, input_: Column, template: str) -> Column:
-    """Whether the output is the template with {{input}} as the row's own input."""
-    before, hole, after = template.partition("{{input}}")
-    if not hole:
-        return matches(output, template)
-    if literal_of(before) is not None and literal_of(after) is not None:
-        return output == F.concat(F.lit(literal_of(before)), input_, F.lit(literal_of(after)))
-    tail = F.concat(input_, F.lit(literal_of(after) or ""))
-    head = F.substr(output, F.lit(1), F.length(output) - F.length(tail))
-    if literal_of(after) is None:
-        raise ValueError("only the part before {{input}} can be a pattern")
-    return F.endswith(output, tail) & matches(head, before)
+def template_matches(output: Column, input_: Column, template: str, values: dict[str, Column] | None = None) -> Column:
+    """Whether the output is the template with its holes filled from the same row.
+
+    Holes: {{input}} (input_), {{$N}} (the N-th operand), {{$@}} (all operands,
+    parted by spaces), {{opt$N}} (the N-th argument of an option), {{opt$@}}.
+    values names their columns ("$1", "n$1", …). Between holes stand patterns.
+    An unknown hole raises KeyError; a null output or value matches nothing.
+
+    The output is read from left to right with all places where what is read so
+    far can end: a literal or a value moves each place on or drops it, a pattern
+    spreads it over the ends of its matches that the next text can follow.
+    """
+    known = {"input": input_, **(values or {})}
+
+    def filled(name: str) -> Column:
+        if name in known:
+            return known[name]
+        stem = name.removesuffix("@")
+        own = sorted((n for n in known if name.endswith("$@") and re.fullmatch(re.escape(stem) + "[0-9]+", n)), key=lambda n: int(n[len(stem) :]))
+        if not own:
+            raise KeyError(name)
+        return F.concat_ws(" ", *[known[n] for n in own])
+
+    pieces = re.split(r"\{\{(.+?)\}\}", template)
+    steps: list[tuple[str, Column | str]] = []
+    for i, piece in enumerate(pieces):
+        if i % 2:
+            steps.append(("text", filled(piece)))
+        elif piece and literal_of(piece) is not None:
+            steps.append(("text", F.lit(literal_of(piece))))
+        elif piece:
+            steps.append(("pattern", piece))
+    size, ends = F.length(output), F.array(F.lit(0))
+    for i, (kind, what) in enumerate(steps):
+        if kind == "text":
+            ends = _moved(ends, output, what)
+        elif i == len(steps) - 1:
+            return F.coalesce(F.exists(ends, lambda at: matches(F.substr(output, at + 1, size), what)), F.lit(False))
+        else:
+            ends = _spread(ends, output, what, steps[i + 1][1] if steps[i + 1][0] == "text" else None)
+    return F.coalesce(F.array_contains(ends, size), F.lit(False))
+
+
+def _moved(ends: Column, output: Column, text: Column) -> Column:
+    """Places after the text, of those where it follows."""
+    n = F.length(text)
+    return F.transform(F.filter(ends, lambda at: F.substr(output, at + 1, n) == text), lambda at: at + n)
+
+
+def _spread(ends: Column, output: Column, p: str, following: Column | None) -> Column:
+    """Places where a match of the pattern that starts at one of the ends is over, and the following text stands."""
+
+    def over(at: Column) -> Column:
+        later = F.sequence(at, F.length(output))
+        if following is not None:
+            later = F.filter(later, lambda to: F.substr(output, to + 1, F.length(following)) == following)
+        return F.filter(later, lambda to: matches(F.substr(output, at + 1, to - at), p))
+
+    return F.array_distinct(F.flatten(F.transform(ends, over)))
 
 
 def dedupe_rules(rules: DataFrame) -> DataFrame:
@@ -123,14 +170,43 @@ def lexicographic_numeric_sort(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.bool_and(matches(F.col(column), "-?[0-9]+([ \\t]*-?[0-9]+)*")).alias("all_numeric"))
 
 
+def type_sets(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
+    """The sets of types that values have: types (sorted names), n values, and the least value of each.
+
+    A value's types are a string of one bit for each pattern, so values are
+    told apart by few distinct strings, and nothing is paired for each value.
+    """
+    value = F.col("value")
+    names = F.array(*[F.lit(n) for n in patterns])
+    bits = F.concat(F.lit(""), *[F.when(matches(value, p), F.lit("1")).otherwise(F.lit("0")) for p in patterns.values()])
+    least = F.min(F.struct(F.length("value").alias("size"), value.alias("v"))).getField("v")
+    distinct = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    sets = distinct.select("value", "n", bits.alias("bits")).groupBy("bits").agg(F.sum("n").alias("n"), least.alias("least"))
+    own = F.filter(F.transform(names, lambda n, i: F.when(F.substr(F.col("bits"), i + 1, F.lit(1)) == "1", n)), lambda n: n.isNotNull())
+    return sets.select(F.sort_array(own).alias("types"), "n", "least")
+
+
 def containment_matrix(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
     """For each two types a and b: how many values are in a but not in b, and the least of them.
 
-    Distinct values are matched once; pairs with none outside have no row.
+    Made of the few sets of types that occur; pairs with none outside have no row.
     """
-    value = F.col("value")
-    within = F.filter(F.array(*[F.when(matches(value, p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
     names = F.array(*[F.lit(n) for n in patterns])
-    rows = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("within", within)
-    outside = rows.select("value", "n", F.explode("within").alias("a"), F.array_except(names, "within").alias("out")).select("value", "n", "a", F.explode("out").alias("b"))
-    return outside.groupBy("a", "b").agg(F.sum("n").alias("n_outside"), F.min(F.struct(F.length("value").alias("size"), value.alias("v"))).getField("v").alias("witness"))
+    sets = type_sets(df, column, patterns)
+    outside = sets.select("n", "least", F.explode("types").alias("a"), F.array_except(names, "types").alias("out")).select("n", "least", "a", F.explode("out").alias("b"))
+    return outside.groupBy("a", "b").agg(F.sum("n").alias("n_outside"), F.min(F.struct(F.length("least").alias("size"), F.col("least").alias("v"))).getField("v").alias("witness"))
+
+
+def type_order(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
+    """How the types are ordered on this data: type, its class (the least name of the types with the same values), and covered_by.
+
+    covered_by lists the classes directly above: those that hold all of its
+    values, without ones that are above another of them. Types without values
+    are a class below all others.
+    """
+    rows = [set(r["types"]) for r in type_sets(df, column, patterns).select("types").collect()]  # distinct sets of the given names
+    above = {a: {b for b in patterns if all(b in r for r in rows if a in r)} for a in patterns}
+    same = {a: min(b for b in above[a] if a in above[b]) for a in patterns}
+    over = {c: {same[b] for b in above[c]} - {c} for c in set(same.values())}
+    direct = {c: sorted(b for b in over[c] if not any(b in over[x] for x in over[c])) for c in over}
+    return df.sparkSession.createDataFrame([(a, same[a], direct[same[a]]) for a in sorted(patterns)], "type string, class string, covered_by array<string>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,10 +53,37 @@ def folder_sizes(files: DataFrame) -> DataFrame:
     return files.groupBy(folder.alias("folder")).agg(F.sum("length").alias("size"), F.count("*").alias("n_files"))
 
 
+def named_paths(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct paths that a stream of lines names, without their quotes (src), and the lines that name none, with the reason."""
+    ok = F.coalesce(matches(F.col("line"), PATH), F.lit(False))
+    quoted = F.col("line").rlike("\\A(?:\".+\"|'.+')\\z")
+    bare = F.when(quoted, F.substr("line", F.lit(2), F.length("line") - 2)).otherwise(F.col("line"))
+    return paths.where(ok).select(bare.alias("src")).distinct(), paths.where(~ok).withColumn("reason", F.lit(f"line outside {PATH}"))
+
+
 def cat_paths(paths: DataFrame, lines: DataFrame) -> DataFrame:
-    """xargs cat: lines of the files that a stream of paths names; other paths are left to quarantine."""
-    named = paths.where(matches(F.col("line"), PATH)).select(F.col("line").alias("src")).distinct()
-    return lines.join(named, "src", "left_semi")
+    """xargs cat: lines of the sources that a stream of paths names. named_paths tells which lines of it are refused."""
+    return lines.join(named_paths(paths)[0], "src", "left_semi")
+
+
+def read_named(spark: SparkSession, paths: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """xargs cat FILE: numbered lines of just the files that a stream of paths names, and the refused lines.
+
+    Spark lists only these files. Their paths come to the driver, which plans
+    the scan, counted first and at most so many at a time: more are taken in
+    parts by a hash of the path. A named file that isn't there raises an error.
+    """
+    good, refused = named_paths(paths)
+    total = good.count()
+    if not total:
+        return spark.createDataFrame([], "src string, line_no long, line string"), refused
+    parts = -(-total // most)
+    read = []
+    for i in range(parts):
+        own = good.where(F.pmod(F.xxhash64("src"), F.lit(parts)) == i) if parts > 1 else good
+        if listed := [r["src"] for r in own.collect()]:
+            read.append(read_lines(spark, listed))
+    return reduce(DataFrame.unionByName, read), refused
 
 
 def sequence_lines(spark: SparkSession, first: int, last: int) -> DataFrame:

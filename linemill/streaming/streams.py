@@ -32,27 +32,62 @@ def stream_counts(stream: DataFrame, column: str) -> DataFrame:
     return stream.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def stream_quarantine(stream: DataFrame, column: str, p: str, good: Callable[[DataFrame], None], bad: Callable[[DataFrame], None], checkpoint: str):
-    """Each micro-batch's valid rows to one sink, the others to another; returns the started query."""
+Sink = Callable[[DataFrame, int], None]
 
-    def deal(batch: DataFrame, _: int) -> None:
+
+def batch_folder(path: str) -> Sink:
+    """A sink that writes each batch in a folder of its number, in place of what a failed attempt left there."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def stream_quarantine(stream: DataFrame, column: str, p: str, good: Sink | str, bad: Sink | str, checkpoint: str):
+    """Each micro-batch's valid rows to one sink, the others to another; returns the started query.
+
+    A sink is a path, for batch_folder, or a function of a batch and its number.
+    A batch that failed after its first sink is given to both again with the
+    same number, so a sink that replaces by number holds every row once.
+    """
+    sinks = [batch_folder(s) if isinstance(s, str) else s for s in (good, bad)]
+
+    def deal(batch: DataFrame, number: int) -> None:
         marked = batch.withColumn("__ok", F.coalesce(matches(F.col(column), p), F.lit(False))).persist()
         try:
-            good(marked.where("__ok").drop("__ok"))
-            bad(marked.where("not __ok").drop("__ok"))
+            sinks[0](marked.where("__ok").drop("__ok"), number)
+            sinks[1](marked.where("not __ok").drop("__ok"), number)
         finally:
             marked.unpersist()
 
     return stream.writeStream.foreachBatch(deal).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_running(aggregated: DataFrame, path: str, checkpoint: str):
+    """Write what each micro-batch changes of a streaming aggregate, by batch number; returns the started query.
+
+    Only changed groups are written, not the whole result as in complete mode.
+    """
+    return aggregated.writeStream.outputMode("update").foreachBatch(batch_folder(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The running table that keep_running left: of each key the row of the last batch that changed it."""
+    written = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(*keys, "__row.*")
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], into: str) -> None:
+    """Write the running table's present rows as the first batch of another folder."""
+    latest(spark, path, keys).write.parquet(f"{into}/batch=-1")
+
+
 def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """All that a stream gives for the files there are now, as a batch frame written in folder."""
     spark: SparkSession = stream.sparkSession
     out = f"{folder}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+        batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows if mode == "complete" else rows.drop("batch")
