@@ -12,7 +12,7 @@ from linemill.streaming import streams
 @pytest.mark.parametrize(
     "out, template, expected",
     [
-        ("a-x-b", "a-{{input}}-b", True), ("a-y-b", "a-{{input}}-b", False), ("12 x!", "[0-9]+ {{input}}.", True), ("12 xx", "[0-9]+ {{input}}x", True), ("xxx", "{{input}}*", False), ("xxx", "{{input}}x{{input}}", True),
+        ("a-x-b", "a-{{input}}-b", True), ("a-y-b", "a-{{input}}-b", False), ("12 x!", "[0-9]+ {{input}}.", True), ("12 xx", "[0-9]+ {{input}}x", True), ("xxx", "{{input}}[*]", False), ("xxx", "{{input}}x{{input}}", True),
         ("x--l-1", "{{input}}-+{{$1}}[0-9-]*", True), ("x--l-1.", "{{input}}-+{{$1}}[0-9-]*", False), ("aaxaax", "[ax]+{{input}}", True), ("aaxaaxa", "[ax]+{{input}}", False), ("x l r", "{{input}} {{$@}}", True), ("n=q", "n={{n$1}}", True),
         ("x1x2x", "[^ ]*{{input}}[0-9]{{input}}", True), ("x", "{{input}}.*", True), (None, "{{input}}", False), ("xx", "x{{n$@}}", False), ("xq", "x{{n$@}}", True), ("plain", "[a-z]+", True),
     ],
