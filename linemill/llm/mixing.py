@@ -6,12 +6,13 @@ size and what it leaves is shared out again. A source's rate is its target over
 its size: every row is emitted floor(rate) times, and once more if its draw,
 hashed from the whole row and a seed, falls below the rate's fraction.
 
-Independent draws would let a source stray from its target by chance. So draws
-are made even, not thresholds moved: a row's draw is the place of its hash
-among those of its source and size class (from a histogram of hashes), turned
-by an offset hashed from source, class and seed. Each row's draw is still
-uniform, so its chance of the extra copy is the fraction exactly, and of each
-class as many rows are taken as are due, to within about one.
+Independent draws would let a source stray from its target by chance. So there
+is one systematic draw over each source: its rows are ordered by size class,
+then by hash, and the copies due are rounded cumulatively from the largest
+class on, with one offset for the source. In a class they go to neighbours in
+the order of hashes, from a hashed start on; places are counted exactly. Each
+row's chance of the extra copy is still the fraction, and a source takes what
+is due to within about one document of each size.
 
 Equal rows have equal hashes. They are told by an aggregated count, and of n of
 them floor(n * fraction) or one more get the extra copy, so that a row that is
@@ -27,18 +28,19 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linemill.llm._common import WORD, broadcast_up_to, cut_lineage
+from linemill.llm._common import WORD, broadcast_up_to, cut_lineage, with_groups
+from linemill.operators.large import with_position
 
 #: Weights of the sources in the order of their code points, repeated as often as needed; null comes last.
 WEIGHTS = (3, 1, 2)
 #: The mix's size as a multiple of all sizes, and a target's bound as a multiple of its source's size.
 TOTAL, MOST = 1.5, 2.0
-#: Bins of hashes in each size class of a source; a class holds sizes of one power of two.
-BINS = 64
+#: Size classes of a source in each power of two.
+CLASSES = 4
 #: Equal rows that one row stands for while they are shared out.
 CHUNK = 1000
 
@@ -96,7 +98,7 @@ def _row_draw(docs: DataFrame, seed: int) -> Column:
 
 
 def _size_class(size: Column) -> Column:
-    return F.when(size < 1, 0).otherwise(F.floor(F.log2(size.cast("double"))) + 1).cast("int")
+    return F.when(size < 1, 0).otherwise(F.floor(F.log2(size.cast("double")) * CLASSES) + 1).cast("int")
 
 
 def _of(source: Column) -> Column:
@@ -105,25 +107,37 @@ def _of(source: Column) -> Column:
 
 
 def _plan(groups: DataFrame, rated: DataFrame, seed: int) -> DataFrame:
-    """For each source and class: its number of different rows, how many come before each bin, and its offset."""
-    bins = groups.where("__n = 1").groupBy("__of", "__class", F.floor(F.col("__draw") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    held = bins.groupBy("__of", "__class").agg(F.sum("n").alias("__rows"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))  # at most BINS entries
-    each = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at("held", b.cast("int")), F.lit(0).cast("long")))
-    upto = F.transform(F.sequence(F.lit(0), F.lit(BINS)), lambda b: F.aggregate(F.slice("each", F.lit(1), b), F.lit(0).cast("long"), lambda x, y: x + y))
-    counted = held.withColumn("each", each).withColumn("__before", upto).select("__of", "__class", "__rows", "__before")
-    # Classes of repeated rows only have no bins, but a rate.
-    classes = groups.select("__of", "__class").distinct()
-    turned = classes.join(counted, ["__of", "__class"], "left").withColumn("__turn", _uniform(F.lit(seed), F.lit("turn"), "__of", "__class"))
-    return turned.join(rated, "__of").select("__of", "__class", "__rows", "__before", "__turn", "source_size", "target", "__rate")
-
-
-def _even_draw() -> Column:
-    """The place of a row's hash in its class, from 0 to below 1, turned by the class's offset."""
-    spread = F.col("__draw") * BINS
-    at = F.floor(spread).cast("int")
-    low, high = F.get("__before", at), F.get("__before", at + 1)
-    place = (low + (spread - at) * (high - low)) / F.col("__rows")
-    return F.pmod(place + F.col("__turn"), F.lit(1.0))
+    """For each source and class: its rate, and the arc of hashes whose rows have one copy more.
+
+    The copies that a source's classes are due are rounded cumulatively, from
+    the largest documents on, with one offset for the source, so their sum is
+    within one of what the source is due and a row's chance is the fraction. A
+    class's copies go to as many neighbours in the order of hashes, from a
+    hashed start on, counted exactly.
+    """
+    cell = F.concat_ws(":", F.col("__of").cast("string"), F.col("__class").cast("string")).alias("__cell")
+    single = groups.where("__n = 1").select(cell, "__draw")
+    rows = groups.groupBy("__of", "__class").agg(F.count_if(F.col("__n") == 1).alias("__rows")).join(broadcast_up_to(rated, 20_000), "__of")
+    reached = F.sum("__rows").over(Window.partitionBy("__of").orderBy(F.desc("__class")))  # few classes of each source
+    fraction = F.col("__rate") - F.floor("__rate")
+    turn = _uniform(F.lit(seed), F.lit("turn"), "__of")
+    due = lambda n: F.floor(n * fraction + turn)
+    start = F.floor(_uniform(F.lit(seed), F.lit("start"), "__of", "__class") * F.col("__rows"))
+    plan = rows.withColumn("__to", reached).withColumn("__due", due(F.col("__to")) - due(F.col("__to") - F.col("__rows")))
+    plan = cut_lineage(plan.select("__of", "__class", cell, "__rows", "__due", start.alias("__start"), "source_size", "target", "__rate"))
+    # The first and last hash of each arc, by exact places in the order of hashes.
+    arcs = plan.where("__due > 0").select("__cell", "__rows", F.col("__start").alias("first"), F.pmod(F.col("__start") + F.col("__due") - 1, F.col("__rows")).alias("last"))
+    placed = with_position(single, "pos", "__cell", ("__draw",)).withColumn("pos", F.col("pos") - 1)
+    ends = with_groups(placed, cut_lineage(arcs), "__cell", "__rows", placed.count()).where("pos = first or pos = last")
+    found = ends.groupBy("__cell").agg(F.max(F.when(F.col("pos") == F.col("first"), F.col("__draw"))).alias("__low"), F.max(F.when(F.col("pos") == F.col("last"), F.col("__draw"))).alias("__high"))
+    return plan.join(found, "__cell", "left").select("__of", "__class", "__rows", "__due", "__low", "__high", "source_size", "target", "__rate")
+
+
+def _in_arc() -> Column:
+    """Whether the row's hash is in the arc of its class; an arc may go over the end of the hashes to their start."""
+    above, below = F.col("__draw") >= F.col("__low"), F.col("__draw") <= F.col("__high")
+    whole, over = F.col("__due") >= F.col("__rows"), F.col("__low") > F.col("__high")
+    return (F.col("__due") > 0) & (whole | F.when(over, above | below).otherwise(above & below))
 
 
 def _shared_out(repeated_rows: DataFrame, columns: list[str], seed: int) -> DataFrame:
@@ -154,7 +168,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tu
     plan = cut_lineage(_plan(groups, rated, seed))
     placed = sized.join(broadcast_up_to(plan, 20_000), ["__of", "__class"]).join(broadcast_up_to(cut_lineage(several), 200_000), "__draw", "left")
     placed = placed.withColumn("__fraction", F.col("__rate") - F.floor("__rate"))
-    copies = F.floor("__rate") + (_even_draw() < F.col("__fraction")).cast("int")
+    copies = F.floor("__rate") + F.coalesce(_in_arc(), F.lit(False)).cast("int")
     single = placed.where(F.col("__equal").isNull()).select(*[F.col(f"`{c}`") for c in columns], "size", "source_size", "target", copies.cast("int").alias("copies"))
     if several.isEmpty():
         return single

@@ -54,18 +54,20 @@ PIECES = (
 
 
 class _Fragment:
-    __slots__ = ("key", "ids", "start", "stop")
+    """Ids of a document from a place on. A fragment holds its own ids only, so one that waits does not keep its document."""
 
-    def __init__(self, key, ids: bytes, start: int, stop: int):
-        self.key, self.ids, self.start, self.stop = key, ids, start, stop
+    __slots__ = ("key", "ids", "start", "total")
+
+    def __init__(self, key, ids: bytes, start: int, total: int):
+        self.key, self.ids, self.start, self.total = key, ids, start, total
 
     def __len__(self) -> int:
-        return self.stop - self.start
+        return len(self.ids) // 4
 
     def take(self, n: int) -> _Fragment:
         """The first n tokens; what stays is the rest."""
-        head = _Fragment(self.key, self.ids, self.start, self.start + n)
-        self.start += n
+        head = _Fragment(self.key, self.ids[: 4 * n], self.start, self.total)
+        self.ids, self.start = self.ids[4 * n :], self.start + n
         return head
 
 
@@ -124,15 +126,16 @@ class Packer:
         self._sequence += 1
         for f in fragments:
             n = len(f)
-            yield (f.key, f.start, n, zlib.crc32(f.ids[4 * f.start : 4 * f.stop]), len(f.ids) // 4, sequence, at, tier, group)
+            yield (f.key, f.start, n, zlib.crc32(f.ids), f.total, sequence, at, tier, group)
             at += n
 
     def add(self, key, ids: bytes) -> Iterator[tuple]:
-        rest = _Fragment(key, ids, 0, len(ids) // 4)
-        while len(rest) >= self._top:
-            yield from self._window([rest.take(self._top)], self._top)
-        if len(rest):
-            self._pools[next(t for t in self._tiers if len(rest) <= t)].put(rest)
+        at, total = 0, len(ids) // 4
+        while total - at >= self._top:
+            yield from self._window([_Fragment(key, ids[4 * at : 4 * (at + self._top)], at, total)], self._top)
+            at += self._top
+        if at < total:
+            self._pools[next(t for t in self._tiers if total - at <= t)].put(_Fragment(key, ids[4 * at :], at, total))
         if sum(map(len, self._pools.values())) >= ROUND_FRAGMENTS:
             yield from self._round()
 

@@ -10,8 +10,9 @@ weighted by similarity, is the score.
 
 Defined results: a null, empty or blank text has the single term "empty" and
 so the votes of labelled texts like it; a text that shares nothing with the
-labelled ones has the share of good labels among all; rows are scored each on its own, so ties
-and repeats agree; null labels are left out; without any labelled row the score
+labelled ones has the share of good labels among all; cosines are rounded to
+six digits, so a text has one score wherever it stands and whatever stands
+beside it; null labels are left out; without any labelled row the score
 is the prior 0.5; null keys are scored and are not held out; texts of any length
 are scored whole, the terms of one text at a time; of a key with several texts
 one is learned from; equally near neighbours beyond the last vote are told
@@ -99,8 +100,8 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return where, weight
 
 
-def _dense(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(found), _TERMS), np.float32)
+def _dense(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    out = np.zeros((len(found), _TERMS), kind)
     for row, (where, weight) in enumerate(found):
         out[row, where] = weight
     out *= idf
@@ -112,6 +113,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """For each row the places of its k greatest values, ties by place, in the order of places."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    above, equal = near > least, near == least
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(near), k)
+
+
 class Voters(NamedTuple):
     """The fitted space and its labelled vectors; bounded by SAMPLE_ROWS whatever the corpus."""
 
@@ -124,15 +133,17 @@ class Voters(NamedTuple):
         if not len(self.labels):
             return np.full(len(texts), 0.5)
         out = np.empty(len(texts))
+        axes, vectors = np.asarray(self.axes, np.float64), np.asarray(self.vectors, np.float64)
         for at in range(0, len(texts), BLOCK):
-            latent = _dense([terms(t) for t in texts[at : at + BLOCK]], self.idf) @ self.axes
-            near = _unit(latent) @ self.vectors.T
-            k = min(NEIGHBOURS, near.shape[1])
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(near, best, axis=1), 1e-6, 1).astype(np.float64) ** SHARPNESS
-            votes = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+            # Sums depend on the height of a block in their last bits; rounded cosines don't.
+            latent = _dense([terms(t) for t in texts[at : at + BLOCK]], self.idf, np.float64) @ axes
+            norm = np.linalg.norm(latent, axis=1)
+            near = np.round((latent / np.maximum(norm, 1e-9)[:, None]) @ vectors.T, 6)
+            best = _nearest(near, min(NEIGHBOURS, near.shape[1]))
+            weight = np.clip(np.take_along_axis(near, best, axis=1), 1e-6, 1) ** SHARPNESS
+            votes = np.round((weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1), 9)
             # What shares no axis with any voter is near none: all vote.
-            out[at : at + BLOCK] = np.where(np.linalg.norm(latent, axis=1) > 1e-6, votes, self.labels.mean())
+            out[at : at + BLOCK] = np.where(np.round(norm, 6) > 1e-6, votes, self.labels.mean())
         return np.clip(out, 0, 1)
 
 
@@ -182,7 +193,8 @@ def quality_scores(docs: DataFrame, voters: Voters, text: str = "text", score: s
 
     @F.arrow_udf(T.DoubleType())
     def vote(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Voters(*sent.value)
+        idf, axes, vectors, labels = sent.value
+        own = Voters(idf, axes.astype(np.float64), vectors.astype(np.float64), labels)
         for part in parts:
             # Few texts at a time are held as Python strings.
             found = [own.scores(part.slice(at, BLOCK).to_pylist()) for at in range(0, len(part), BLOCK)]

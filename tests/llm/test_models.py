@@ -143,12 +143,26 @@ def test_votes_against_a_plain_loop(spark):
         if size < 1e-6:
             assert abs(score - float(voters.labels.mean())) < 1e-9
             continue
-        near = sorted(((sum(a / size * float(b) for a, b in zip(latent, v)), float(y)) for v, y in zip(voters.vectors, voters.labels)), reverse=True)
-        votes = [(max(1e-6, min(1, s)) ** quality_classifier.SHARPNESS, y) for s, y in near[: quality_classifier.NEIGHBOURS]]
-        assert abs(score - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 0.05  # one of equally near voters may differ
+        near = sorted(((round(sum(a / size * float(b) for a, b in zip(latent, v)), 6), -place, float(y)) for place, (v, y) in enumerate(zip(voters.vectors, voters.labels))), reverse=True)
+        votes = [(max(1e-6, min(1, s)) ** quality_classifier.SHARPNESS, y) for s, _, y in near[: quality_classifier.NEIGHBOURS]]
+        assert abs(score - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 2e-9
     assert scores[-1] == scores[-2]
 
 
+def test_one_score_for_one_text(spark):
+    """A text alone, first, last and amid blocks of any height has the same score, exactly."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    voters = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    whole = voters.scores(texts)
+    assert [voters.scores([t])[0] for t in texts] == whole.tolist()
+    for n in (2, 3, 7, 61):
+        assert np.concatenate([voters.scores(texts[at : at + n]) for at in range(0, len(texts), n)]).tolist() == whole.tolist()
+    assert voters.scores(texts[::-1])[::-1].tolist() == whole.tolist()
+    again = quality_classifier.quality_scores(docs.repartition(7), voters).orderBy("doc_id").collect()
+    assert [r["score"] for r in again] == whole.tolist()
+
+
 def test_decoding_against_a_plain_loop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     coder = language_id.train(docs)
@@ -181,4 +195,5 @@ def test_vectors_far_from_the_origin_and_a_hot_leaf(spark, monkeypatch):
             found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
         hits = sum(len({m[1] for m in found[q]} & {key for _, key in told[q]}) for q in told)
         assert hits >= 0.97 * 10 * len(told)
-        assert all(sorted(found[q])[0][2] <= told[q][0][0] + 1e-9 or hits for q in told)
+        off = [sorted(found[q])[0][2] - told[q][0][0] for q in told]
+        assert min(off) > -1e-9 and sum(x < 1e-9 for x in off) >= 0.9 * len(told)

@@ -328,3 +328,33 @@ def test_run_packs_whole_documents(spark, sf_dir):
     keys = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
     assert len(held) > 100 and {r["doc_id"] for r in held} <= keys
     assert all(r["n"] == r["copies"] * r["doc_tokens"] and 1 <= r["copies"] <= 2 for r in held)
+
+
+def test_mix_is_near_its_targets(spark, sf_dir):
+    """Each source takes what it is due to within about one of its larger documents, and copies are floor(rate) or one more."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    rows = mixing.mix(docs).collect()
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        taken, rate = sum(r["size"] * r["copies"] for r in own), own[0]["target"] / own[0]["source_size"]
+        assert abs(taken - own[0]["target"]) <= max(r["size"] for r in own)
+        assert {r["copies"] for r in own} <= {math.floor(rate), math.floor(rate) + 1}
+        due = len(own) * (rate - math.floor(rate))
+        assert abs(sum(r["copies"] - math.floor(rate) for r in own) - due) < 1 + 1e-6
+
+
+def test_mix_of_a_very_long_text(spark):
+    frame = spark.createDataFrame([(1, "a", "w " * 400_000), (2, "a", None), (3, "b", "x y")], "doc_id long, source string, text string")
+    found = {r["doc_id"]: (r["size"], r["copies"]) for r in mixing.mix(frame).collect()}
+    assert found[1][0] == 400_000 and found[2][0] == 0 and found[3] == (2, 2)
+
+
+def test_pipeline_first_stage_on_odd_and_empty_tables(spark, sf_dir):
+    """The classifier's stage keeps the columns, scores null and empty texts, and takes null keys, ties and repeated rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(30).unionByName(docs.limit(30)).unionByName(docs.limit(3).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")})).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-5).cast("long"), "text": F.lit("w " * 300_000)}))
+    kept = corpus_pipeline.quality(spark, odd.withColumn("score", F.lit("mine")), sf_dir)
+    assert kept.columns == [*docs.columns, "score"] and {r["score"] for r in kept.select("score").collect()} <= {"mine"}
+    times = Counter(r["doc_id"] for r in kept.where("doc_id >= 0").collect())
+    assert set(times.values()) <= {2} and times
+    assert corpus_pipeline.quality(spark, docs.limit(0), sf_dir).count() == 0

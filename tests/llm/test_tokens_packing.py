@@ -128,3 +128,28 @@ def test_packer_of_many_sizes():
     assert check_windows([dict(zip(names, r)) for r in rows], {k: v.tolist() for k, v in docs.items()}) < 3 * 2048
     with pytest.raises(ValueError):
         Packer(0, tiers=(500, 1000))
+
+
+def test_waiting_fragments_hold_their_own_ids_only():
+    """Documents of 100,001 tokens leave tails of a few ids each; what waits does not keep the documents."""
+    packer = Packer(0)
+    ids = np.arange(100_001, dtype="<u4").tobytes()
+    found = [row for i in range(200) for row in packer.add(i, ids)]
+    waiting = [f for pool in packer._pools.values() for held in pool._by.values() for f in held]
+    assert sum(len(f.ids) for f in waiting) == 4 * sum(map(len, waiting)) <= 2 * 4 * 200 * (100_001 % 2048)
+    found += list(packer.flush())
+    pieces = defaultdict(list)
+    for key, start, n, crc, total, *_ in found:
+        assert crc == zlib.crc32(ids[4 * start : 4 * (start + n)]) and total == 100_001
+        pieces[key].append((start, n))
+    assert all(sum(n for _, n in own) == 100_001 and sorted(own)[0][0] == 0 for own in pieces.values()) and len(pieces) == 200
+
+
+def test_pack_with_a_very_long_text_and_clashing_columns(spark, library):
+    texts = ["word " * 200_000, None, "", "x" * 50_000]
+    docs = spark.createDataFrame([(i, t, 1.5, "old") for i, t in enumerate(texts)], "doc_id long, text string, length double, window string")
+    found = pack(docs, JSON).collect()
+    lengths = {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["doc_tokens"] for r in found} == lengths
+    assert all(sum(r["length"] for r in found if r["doc_id"] == i) == n for i, n in lengths.items())
+    assert pack(docs.limit(0), JSON).count() == 0
