@@ -33,8 +33,8 @@ from linemill.llm.shingles import mix
 
 #: Most labelled rows that the fit takes, bins of n-grams, and steps of the fit.
 SAMPLE_ROWS, BINS, STEPS = 6_000, 4096, 250
-#: Most languages that are learned; below SAMPLE_ROWS, so the sample keeps its bound.
-MOST_LANGUAGES = 2_000
+#: Most values of the language column; more are no languages, and raise an error. Each has a row in the sample at least.
+MOST_LANGUAGES = 8_000
 #: Characters of a text's block of n-grams at a time.
 BLOCK_BYTES = 1 << 20
 #: Below this gap between the best two languages' shares a prediction is ambiguous.
@@ -143,14 +143,18 @@ def _fitted(sample: DataFrame, names: list[str]) -> Coder:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", folds: int = 3, fold: int = 1, sample_rows: int = SAMPLE_ROWS) -> Coder:
-    """A coder of the languages that rows outside the held-out fold name, at most the MOST_LANGUAGES with the most keys.
+    """A coder of all languages that rows outside the held-out fold name.
 
     The sample is drawn by key hash from the keys of each language, with the
-    text of the least hash of each key; its bound is shared by the languages,
-    so rare languages keep all their keys. No more rows are gathered.
+    text of the least hash of each key; its bound (sample_rows, or one row of
+    each language if these are more) is shared by the languages, so rare
+    languages keep all their keys. No more rows are gathered. Raises ValueError
+    for more than MOST_LANGUAGES values of the language column.
     """
     learn = docs.where(F.col(f"`{language}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull() & (crc_fold(F.col(f"`{key}`"), folds) != fold))
-    found = learn.groupBy(F.col(f"`{language}`").alias("language")).agg(F.approx_count_distinct(F.col(f"`{key}`"), 0.02).alias("count")).orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES).collect()
+    found = learn.groupBy(F.col(f"`{language}`").alias("language")).agg(F.approx_count_distinct(F.col(f"`{key}`"), 0.02).alias("count")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"column {language!r} has more than {MOST_LANGUAGES} values")
     names = sorted(r["language"] for r in found)
     if len(names) < 2:
         return Coder(names, codewords(len(names)), np.zeros((BINS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))

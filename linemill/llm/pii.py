@@ -14,8 +14,8 @@ may change into itself only by the chance of the permutation. Rows are treated
 each on its own, other columns pass through, and an empty table gives an empty
 result. Dates with slashes are read month first, and day first where that is no
 date; either are permuted among themselves, so no two written dates of a form
-get one pseudonym. Dates out of the range of the permutation, addresses with
-leading zeros and account numbers with check digits that no bank issues stay.
+get one pseudonym. Dates of 1900 to 2100 stay in these years, all others of the
+calendar (years 0001 to 9999) out of them. Addresses with leading zeros and account numbers with check digits that no bank issues stay.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 #: First day and number of days of the dates that are permuted among each other, as a product.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 215, 340
+#: Days of the calendar, and factors of a domain that just holds those outside the range above, which are permuted among each other.
+CALENDAR_DAYS, OTHER_LEFT, OTHER_RIGHT = 3_652_059, 1891, 1893
 #: Most steps on a cycle; two days in five lie in a month's first twelve, so a longer walk has a chance of 0.4 ** 64.
 WALK = 64
 
@@ -217,22 +219,47 @@ def _day(index: Column) -> Column:
     return F.date_add(F.lit(FIRST_DAY).cast("date"), index.cast("int"))
 
 
-def _moved_late_day(index: Column, key: str) -> Column:
-    """Permutation of the days after a month's twelfth: the next such day on the cycle of the permutation of all days."""
-    late = lambda i: F.dayofmonth(_day(i)) > 12
-    step = lambda state, _: F.when(late(state), state).otherwise(_moved_day(state, key))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _moved_day(index, key), step)
+def _moved_other(index: Column, key: str) -> Column:
+    return _permuted_index(index, OTHER_LEFT, OTHER_RIGHT, key, "other date")
+
+
+def _other_day(index: Column) -> Column:
+    """The index-th day of the calendar that is not among the DAYS_LEFT * DAYS_RIGHT from FIRST_DAY on."""
+    before = F.datediff(F.lit(FIRST_DAY).cast("date"), F.lit("0001-01-01").cast("date"))
+    return F.date_add(F.lit("0001-01-01").cast("date"), F.when(index < before, index).otherwise(index + DAYS_LEFT * DAYS_RIGHT).cast("int"))
+
+
+def _walked(index: Column, moved: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
+    """The next fitting index on the cycle of a permutation, which so permutes the fitting ones."""
+    step = lambda state, _: F.when(fits(state), state).otherwise(moved(state))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved(index), step)
+
+
+def _new_day(index: Column, key: str, late: bool) -> Column:
+    """The day for the index-th day from FIRST_DAY on; of late days, those after a month's twelfth, another late one."""
+    if not late:
+        return _day(_moved_day(index, key))
+    return _day(_walked(index, lambda i: _moved_day(i, key), lambda i: F.dayofmonth(_day(i)) > 12))
+
+
+def _new_other_day(index: Column, key: str, late: bool) -> Column:
+    others = CALENDAR_DAYS - DAYS_LEFT * DAYS_RIGHT
+    # A day outside the domain is never made: least keeps the dates' arithmetic in the calendar.
+    fits = lambda i: (i < others) & (F.lit(not late) | (F.dayofmonth(_other_day(F.least(i, F.lit(others - 1)))) > 12))
+    return _other_day(_walked(index, lambda i: _moved_other(i, key), fits))
 
 
 def _date(value: Column, key: str) -> Column:
     """Pseudonym of a date written in one of four forms; month-first and day-first dates are permuted among their own."""
-    out = value
-    for form, moved in (("dd/MM/yyyy", _moved_late_day), ("MM/dd/yyyy", _moved_day), ("dd.MM.yyyy", _moved_day), ("yyyy-MM-dd", _moved_day)):
+    out, span = value, DAYS_LEFT * DAYS_RIGHT
+    for form, late in (("dd/MM/yyyy", True), ("MM/dd/yyyy", False), ("dd.MM.yyyy", False), ("yyyy-MM-dd", False)):
         shape = form.replace("dd", r"\d{2}").replace("MM", r"\d{2}").replace("yyyy", r"\d{4}").replace(".", r"\.")
-        index = F.datediff(F.try_to_date(value, form), F.lit(FIRST_DAY).cast("date")).cast("long")
-        new = F.date_format(_day(moved(index, key)), form)
+        day = F.try_to_date(value, form)
+        index = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+        place = F.datediff(day, F.lit("0001-01-01").cast("date")).cast("long")
+        new = F.when(index.between(0, span - 1), _new_day(index, key, late)).otherwise(_new_other_day(F.when(index < 0, place).otherwise(place - span), key, late))
         # The later form wins, so a date that has a month-first reading is month first.
-        out = F.when(value.rlike(f"^{shape}$") & index.between(0, DAYS_LEFT * DAYS_RIGHT - 1), new).otherwise(out)
+        out = F.when(value.rlike(f"^{shape}$") & (place >= 0), F.date_format(new, form)).otherwise(out)
     return out
 
 

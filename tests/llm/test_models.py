@@ -197,3 +197,13 @@ def test_vectors_far_from_the_origin_and_a_hot_leaf(spark, monkeypatch):
         assert hits >= 0.97 * 10 * len(told)
         off = [sorted(found[q])[0][2] - told[q][0][0] for q in told]
         assert min(off) > -1e-9 and sum(x < 1e-9 for x in off) >= 0.9 * len(told)
+
+
+def test_many_languages_are_all_learned_and_too_many_refused(spark, monkeypatch):
+    words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op"]
+    rows = [(i, f"{words[i % 8]} " * 5 + f"{i}", f"l{i % 8}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train(docs, sample_rows=4).languages == [f"l{i}" for i in range(8)]
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 7)
+    with pytest.raises(ValueError):
+        language_id.train(docs)

@@ -358,3 +358,31 @@ def test_pipeline_first_stage_on_odd_and_empty_tables(spark, sf_dir):
     times = Counter(r["doc_id"] for r in kept.where("doc_id >= 0").collect())
     assert set(times.values()) <= {2} and times
     assert corpus_pipeline.quality(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_dates_of_the_whole_calendar_are_permuted(spark):
+    """Days outside 1900 to 2100 get days outside of it, one to one, in all four forms; days that don't exist stay."""
+    first = datetime.date(1900, 1, 1)
+    inside = {(first + datetime.timedelta(n)).isoformat() for n in range(pii.DAYS_LEFT * pii.DAYS_RIGHT)}
+    outside = [datetime.date(1, 1, 1), datetime.date(9999, 12, 31), first - datetime.timedelta(1), first + datetime.timedelta(len(inside))]
+    outside += [datetime.date(1650, 1, 1) + datetime.timedelta(37 * n) for n in range(1_500)] + [datetime.date(2150, 1, 1) + datetime.timedelta(911 * n) for n in range(2_000)]
+    for form in ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y", "%d/%m/%Y"):
+        own = sorted({d for d in outside if form != "%d/%m/%Y" or d.day > 12})
+        told = [f"{d.year:04d}".join(d.strftime(form.replace("%Y", "@")).split("@")) for d in own]
+        rows = spark.createDataFrame([(t,) for t in told], "d string").select(pii._date(F.col("d"), KEY)).collect()
+        found = [r[0] for r in rows]
+        assert len(set(found)) == len(told) and sum(a == b for a, b in zip(found, told)) <= 2
+        back = {datetime.datetime.strptime(x, form).date() for x in found}
+        assert not {d.isoformat() for d in back} & inside and (form != "%d/%m/%Y" or min(d.day for d in back) > 12)
+    assert moved(spark, "0000-01-01", "1899-02-29", "2101-13-01") == ["0000-01-01", "1899-02-29", "2101-13-01"]
+
+
+def test_social_numbers_against_a_plain_permutation(spark):
+    """The pseudonym's place among all valid numbers is the permuted place of the number."""
+    for text in ("001-01-0001", "899-99-9999", "665-50-1234", "667-01-0001", "123-45-6789"):
+        area, group, serial = map(int, text.split("-"))
+        place = (area - 2 if area > 666 else area - 1) * 989901 + (group - 1) * 9999 + serial - 1
+        left, right = brute_pair(*divmod(place, 989901), 898, 989901, "social")
+        to = left * 989901 + right
+        new_place, rest = divmod(to, 989901)
+        assert moved(spark, text) == [f"{new_place + 2 if new_place >= 665 else new_place + 1:03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"]
