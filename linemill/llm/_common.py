@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,10 +69,31 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return met.unionByName(others)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as the block lasts."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder."""
+    """Materialise a frame in the shared checkpoint folder.
+
+    The shuffle files of the job that writes it go at its end: what comes after
+    reads the checkpoint, and otherwise they stay until the driver happens to
+    collect its garbage.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        # A frame takes the setting when it is made, and no one else holds this one.
+        return df.select("*").checkpoint(eager=True)
 
 
 def crc_fold(key: Column, folds: int) -> Column:

@@ -41,6 +41,8 @@ from linemill.llm.shingles import mix, shingle_set
 COLLECTIONS, ROWS = 12, 3
 #: Most classes of a bucket whose unmet members are compared as pairs; beyond it, in blocks of so many classes.
 SMALL_BUCKET, BLOCK_CLASSES = 12, 64
+#: Bytes of packed sets that a block has on average at most; a set larger than that is whole, so a block holds about this and its largest set.
+BLOCK_BYTES = 16 << 20
 #: Copies of a set beyond which its class is broadcast to its rows.
 HOT_ROWS = 1_000
 _BLOCK = 4096
@@ -177,13 +179,13 @@ def _unmet_in_families(large: DataFrame, sets: DataFrame, percent: int) -> DataF
     """
     hubs = large.groupBy("table_key").agg(F.min("rep").alias("a"))
     families = components(large.join(hubs, "table_key").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
-    classes = large.select("rep", "component").distinct().join(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep", "left")
-    classes = cut_lineage(classes.select("rep", "component", F.coalesce("family", "rep").alias("family")))
-    counts = classes.groupBy("family", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    main = main.select("family", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_other"))
-    told = classes.join(main, "family").withColumn("is_main", F.col("component") == F.col("main"))
-    blocks = F.ceil(F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other")) / BLOCK_CLASSES)
+    classes = large.groupBy("rep", "component").agg(F.max("size").alias("size")).join(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep", "left")
+    classes = cut_lineage(classes.select("rep", "component", (F.col("size").cast("long") * 8).alias("bytes"), F.coalesce("family", "rep").alias("family")))
+    counts = classes.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = counts.groupBy("family").agg(F.max(F.struct("n", "component", "bytes")).alias("main"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"))
+    told = classes.join(main, "family").withColumn("is_main", F.col("component") == F.col("main.component"))
+    n, held = (F.when(F.col("is_main"), F.col(f"main.{of}")).otherwise(F.col(whole) - F.col(f"main.{of}")) for of, whole in (("n", "all"), ("bytes", "all_bytes")))
+    blocks = F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(held / BLOCK_BYTES))
     dealt = told.select("rep", "component", F.struct("family", "is_main", F.pmod(F.xxhash64("rep"), blocks).alias("salt")).alias("block"))
     packed = cut_lineage(dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "set")).alias("held")))
     names = packed.select("block", F.col("block.family").alias("family"))
@@ -226,10 +228,21 @@ def _linked_in_blocks(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]
 
 
 def _of_several_texts(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between the classes of a key that stands for several texts."""
-    several = signed.where("id is not null and print is not null").groupBy("id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x < y")
-    places = signed.join(cut_lineage(several.select("id")), "id").join(classes.select("print", "rep"), "print").select("id", "rep")
-    return places.join(places.groupBy("id").agg(F.min("rep").alias("low")), "id").where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    """Links between the classes of a key that stands for several texts.
+
+    Keys of many texts and texts of many keys meet their rows by a broadcast.
+    """
+    known = signed.where("id is not null and print is not null").select("id", "print")
+    texts = known.groupBy("id").agg(F.min("print").alias("x"), F.max("print").alias("y"), F.count("*").alias("n"))
+    several = cut_lineage(texts.where("x < y").select("id", "n"))
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return several.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    of_several = cut_lineage(with_groups(known, several, "id", "n", total).select("id", "print").distinct())
+    reps = cut_lineage(classes.select("print", "rep").join(of_several.groupBy("print").agg(F.count("*").alias("keys")), "print"))
+    places = cut_lineage(with_groups(of_several, reps, "print", "keys", total).select("id", "rep"))
+    lows = cut_lineage(places.groupBy("id").agg(F.min("rep").alias("low"), F.count("*").alias("n")))
+    return with_groups(places, lows, "id", "n", total).where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def _placed(signed: DataFrame, places: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

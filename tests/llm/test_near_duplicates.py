@@ -1,12 +1,15 @@
 """MinHash near-duplicates against brute force, and the cases that data can hold."""
 
+import pathlib
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linemill.llm import minhash, shingles
-from linemill.llm._common import with_groups
+from linemill.llm._common import cut_lineage, with_groups
 from linemill.llm.components import components
 
 
@@ -116,3 +119,38 @@ def test_large_groups_meet_their_rows_like_small_ones(spark):
     expected = [(x, y, n, z) for x, y in rows for g, n, z in groups if x == g]
     assert sorted(tuple(r) for r in found.select("x", "y", "n", "z").collect()) == sorted(expected)
     assert with_groups(frame, small.where("false"), "x", "n", 0).count() == 0
+
+
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    """Blocks bound by bytes, down to about one set each, lose no link."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1_500)
+    rows = corpus(7)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, words=2).collect()}
+    assert found == brute_force(rows, 2)[0]
+
+
+def test_a_key_of_many_texts_and_a_text_of_many_keys(spark):
+    """Such keys and texts meet their rows by a broadcast; all their classes are one component."""
+    rows = [(5, f"only words of text {i} a{i} b{i} c{i}") for i in range(1_100)] + [(i, "shared text of all of these") for i in range(5, 1_105)]
+    rows += [(2_000, "only words of text 7 a7 b7 c7"), (2_001, "something else that nobody has")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).select("doc_id", "component_id").distinct().collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {**{i: 5 for i in range(5, 1_105)}, 2_000: 5, 2_001: 2_001}
+
+
+def test_cut_lineage_leaves_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    counts = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = cut_lineage(counts)
+    assert spark.conf.get(name, None) == before
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in counts.collect())
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    counted = lambda: sum(len(list(pathlib.Path(d).glob("*/shuffle_*"))) for d in folders)
+    held = counted()
+    cut_lineage(counts.where("count > 1"))
+    until = time.time() + 10
+    while counted() > held and time.time() < until:
+        time.sleep(0.1)
+    assert counted() <= held
