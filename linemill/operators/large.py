@@ -25,10 +25,12 @@ CHUNK = 10_000
 Batches = Iterator[pa.RecordBatch]
 
 
-def ranged(rows: DataFrame, *order: Column | str, numbered: bool = False) -> DataFrame:
+def ranged(rows: DataFrame, *order: Column | str, numbered: bool = False, added: dict[str, Column] | None = None) -> DataFrame:
     """The rows in sorted range partitions, materialised, with the partition's number in __part.
 
     Numbered rows also have their place in __at, in the low 33 bits of a long.
+    Added columns are computed once the rows lie there: what is before is
+    computed twice, for a sample and to be dealt.
 
     Rows that are equal by the order, however many, are dealt by a hash of all
     their columns. Materialised, since no row may move between two passes.
@@ -41,7 +43,7 @@ def ranged(rows: DataFrame, *order: Column | str, numbered: bool = False) -> Dat
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
     whole = [*order, F.xxhash64(*hashed)] if hashed else [*order]
-    dealt = rows.repartitionByRange(parts, *whole).sortWithinPartitions(*whole).withColumn("__part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(parts, *whole).sortWithinPartitions(*whole).withColumns(added or {}).withColumn("__part", F.spark_partition_id())
     return materialised(dealt.withColumn("__at", F.monotonically_increasing_id()) if numbered else dealt)
 
 
@@ -62,6 +64,13 @@ def _last(columns: list[pa.Array]) -> list[pa.Array]:
     return [pa.array(c.slice(len(c) - 1, 1).to_pylist(), c.type) for c in columns]
 
 
+def _sides(first: list, last: list[pa.Array]) -> list[pa.Array]:
+    """A partition's first and last value, each as a struct of its columns."""
+    told = lambda row: {f"c{i}": v for i, v in enumerate(row)}
+    own = pa.struct([pa.field(f"c{i}", c.type) for i, c in enumerate(last)])
+    return [pa.array([told(row)], own) for row in (first, [c.to_pylist()[0] for c in last])]
+
+
 class _Edge:
     """What a partition shows to its neighbours: rows, first and last value, and how many rows of these it has at its ends."""
 
@@ -91,10 +100,7 @@ def _edges(held: DataFrame, columns: list[str]) -> list[_Edge]:
             tail = batch.num_rows - int(changes[-1]) if len(changes) else tail + batch.num_rows
             n, before = n + batch.num_rows, _last(own)
         if n:
-            told = lambda row: {f"c{i}": v for i, v in enumerate(row)}
-            types = [pa.struct([pa.field(f"c{i}", c.type) for i, c in enumerate(before)])] * 2
-            sides = [told(first), told([c.to_pylist()[0] for c in before])]
-            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in (part, n, head, tail)], *[pa.array([s], t) for s, t in zip(sides, types)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in (part, n, head, tail)], *_sides(first, before)], names=schema.names)
 
     rows = held.select("__part", *[F.col(f"`{c}`") for c in columns]).mapInArrow(look, schema).collect()
     return [_Edge(r["part"], r["n"], r["head"], r["tail"], tuple(r["first"]), tuple(r["last"])) for r in sorted(rows, key=lambda r: r["part"])]
@@ -123,26 +129,27 @@ def _with(batch: pa.RecordBatch, names: list[str], *more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m) for m in more]], names=names)
 
 
-def with_position(rows: DataFrame, name: str = "pos", group: str = "src", order: tuple[Column | str, ...] = ("line_no",)) -> DataFrame:
+def with_position(rows: DataFrame, name: str = "pos", group: str | tuple[str, ...] = "src", order: tuple[Column | str, ...] = ("line_no",)) -> DataFrame:
     """A column with each row's place in its group by the order, from 1, gapless.
 
-    A null group is a group. Rows that are equal by the order, but not
+    A group is of one or several columns' values; a null group is a group. Rows that are equal by the order, but not
     altogether, get their places in an order that a hash of the row fixes.
     """
-    held = ranged(rows.drop(name), F.col(f"`{group}`"), *order)
+    groups = [group] if isinstance(group, str) else [*group]
+    held = ranged(rows.drop(name), *[F.col(f"`{g}`") for g in groups], *order)
     before: dict[int, int] = {}
     last, count = None, 0
-    for e in _edges(held, [group]):
+    for e in _edges(held, groups):
         before[e.part] = count if e.first == last else 0
         count, last = (before[e.part] + e.n) if e.head == e.n else e.tail, e.last
-    at = [c for c in held.columns if c != "__part"].index(group)
+    at = [[c for c in held.columns if c != "__part"].index(g) for g in groups]
     names = [*[c for c in held.columns if c != "__part"], name]
 
     def step(part: int) -> Callable[[Batches], Batches]:
         def place(batches: Batches) -> Batches:
             seen, previous = before[part], None
             for batch in batches:
-                own = [batch.column(at)]
+                own = [batch.column(i) for i in at]
                 new = _differs(own, previous)
                 if previous is None:
                     new[0] = False
@@ -157,6 +164,82 @@ def with_position(rows: DataFrame, name: str = "pos", group: str = "src", order:
     return _passed(held, [T.StructField(name, T.LongType())], step)
 
 
+def _since(new: np.ndarray, weights: np.ndarray, before: int) -> int:
+    """The weights from the last new value on; with none that is new, those before too."""
+    changes = np.flatnonzero(new)
+    return int(weights[changes[-1] :].sum()) if len(changes) else before + int(weights.sum())
+
+
+def with_start(rows: DataFrame, weight: Column, name: str = "start", tied: str = "tied", group: str = "src", order: str = "line_no") -> tuple[DataFrame, bool]:
+    """Columns with the weights of all rows before each in its group, summed, and whether other rows are equal to it by the order; and whether any are.
+
+    Rows that are equal by the order all have the sum before the first of them.
+    A null group is a group, a null place a place. Weights are whole numbers from 0, null being 0.
+    """
+    held = ranged(rows.drop(name, tied), F.col(f"`{group}`"), F.col(f"`{order}`"), added={"__weight": F.coalesce(weight, F.lit(0)).cast("long")})
+    names = [c for c in held.columns if c != "__part"]
+    at, weighs = [names.index(group), names.index(order)], names.index("__weight")
+    value = T.StructType([T.StructField(f"c{i}", held.schema[c].dataType) for i, c in enumerate((group, order))])
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("part", "total", "own", "same", "ties")], T.StructField("first", value), T.StructField("last", value)])
+
+    def look(batches: Batches) -> Batches:
+        part, total, own, same, ties, first, before = 0, 0, 0, 0, 0, None, None  # own and same: of the last group, and of the last place
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, weights = batch.columns[1:3], batch.column(3).to_numpy()
+            new = _differs(place, before)
+            if first is None:
+                part, first = batch.column(0)[0].as_py(), [c[0].as_py() for c in place]
+            own, same = _since(_differs(place[:1], before and before[:1]), weights, own), _since(new, weights, same)
+            total, ties, before = total + int(weights.sum()), ties + int((~new).sum()), _last(place)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in (part, total, own, same, ties)], *_sides(first, before)], names=schema.names)
+
+    seen = held.select("__part", *[F.col(f"`{c}`") for c in (group, order, "__weight")]).mapInArrow(look, schema).collect()  # one row for each partition
+    met: dict[int, tuple[bool, bool]] = {}  # whether a partition begins in the group, and at the place, of the row before
+    before: dict[int, tuple[int, int]] = {}
+    follows: dict[int, bool] = {}
+    summed, start, last, last_part, ties = 0, 0, None, None, 0
+    for e in sorted(seen, key=lambda e: e["part"]):
+        first, part = tuple(e["first"]), e["part"]
+        met[part] = last is not None and first[0] == last[0], first == last
+        summed = summed if met[part][0] else 0
+        start = start if met[part][1] else summed
+        before[part] = summed, start
+        if last_part is not None:
+            follows[last_part] = met[part][1]
+        last, last_part, ties = tuple(e["last"]), part, ties + e["ties"] + met[part][1]
+        summed = summed + e["total"] if first[0] == last[0] else e["own"]
+        start = start if first == last else summed - e["same"]
+
+    def step(part: int) -> Callable[[Batches], Batches]:
+        def place(batches: Batches) -> Batches:
+            (reached, open_), waiting, previous = before[part], None, None  # waiting: a batch whose last row's neighbour is still to come
+            for batch in batches:
+                own, weights = [batch.column(i) for i in at], batch.column(weighs).to_numpy()
+                changed, new = _differs(own[:1], previous and previous[:1]), _differs(own, previous)
+                if previous is None:
+                    changed[0], new[0] = not met[part][0], not met[part][1]
+                index, sums = np.arange(batch.num_rows), np.cumsum(weights) - weights
+                of_group = np.maximum.accumulate(np.where(changed, index, -1))
+                sums = np.where(of_group < 0, reached + sums, sums - sums[of_group])
+                of_place = np.maximum.accumulate(np.where(new, index, -1))
+                starts = np.where(of_place < 0, open_, sums[of_place])
+                if waiting is not None:
+                    yield told(*waiting, not new[0])
+                waiting = batch, starts, ~new
+                reached, open_, previous = int(sums[-1] + weights[-1]), int(starts[-1]), _last(own)
+            yield told(*waiting, follows.get(part, False))
+
+        def told(batch: pa.RecordBatch, starts: np.ndarray, same: np.ndarray, following: bool) -> pa.RecordBatch:
+            return _with(batch, [*names, name, tied], starts, same | np.append(same[1:], following))
+
+        return place
+
+    return _passed(held, [T.StructField(name, T.LongType()), T.StructField(tied, T.BooleanType())], step).drop("__weight"), ties > 0
+
+
 def _keyed(lines: DataFrame, key: Column | None) -> tuple[DataFrame, list[_Edge]]:
     held = ranged(lines.withColumn("__key", F.col("line") if key is None else key), "src", "line_no")
     return held, _edges(held, ["src", "__key"])
